@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import oracles, secrets, urls, warc
-from tidegrid.llm.shared import table
+from tidegrid.llm import decontaminate, oracles, secrets, toxicity, urls, warc
+from tidegrid.llm.shared import crc_text, few_files, table
 
 #: Host, path, verdict of the URL rules.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_text("doc_id") % 3 == 1
+    sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, toxicity.fit(sample))
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
-    return found.select(
+    return few_files(found).select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"),
     )
@@ -24,18 +36,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return urls.judge(table(spark, sf_dir, "pages"), rules)
+    return few_files(urls.judge(table(spark, sf_dir, "pages"), rules))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)) % 86_400)
     captures = table(spark, sf_dir, "pages").select("page_id", "url", captured.alias("captured"), "html")
     merged = warc.archive_and_merge(captures, smallest=0)
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+    return few_files(merged).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
 
 
 def queries():
-    return {f.__name__: f for f in (op4_secret_scan, op6_url_filter, op9_warc)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op6_url_filter, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

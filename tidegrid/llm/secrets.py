@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.shared import cut
+from tidegrid.llm.shared import rekeyed
 
 
 @dataclass(frozen=True)
@@ -122,17 +122,17 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, text: str = "text",
     )
     merged = ledger.select("blob", F.array_sort(each).alias("found"))
     keyed = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    return keyed.join(merged, "blob", "left")
+    return keyed.join(rekeyed(merged, "blob"), "blob", "left")
 
 
 def scan_versions(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan and join back: (versions with blob and found, the new ledger as a table in the shared folder).
+    """Scan and join back: (versions with blob and found, the new ledger for the caller to store).
 
     Null and empty texts share one blob without findings; repeated rows and null keys stay as they are; an
     empty table gives empty results. Columns of versions named blob or found are replaced.
     """
     versions = versions.drop("blob", "found")
-    book = cut(scan(versions, text, ledger, rules))
+    book = scan(versions, text, ledger, rules)
     return findings_by_path(versions, book, text, rules), book
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import cut, shared_folder
+from tidegrid.llm.shared import few_files, rekeyed, shared_folder
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -45,7 +45,7 @@ def with_roles(captures: DataFrame, smallest: int) -> DataFrame:
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     keyed = captures.withColumn("html", body).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": sha1_base32(body)})
-    firsts = cut(keyed.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("page_id").alias("first_id")))
+    firsts = rekeyed(keyed.where(F.col("payload_bytes") >= smallest).groupBy("payload_digest").agg(F.min("page_id").alias("first_id")), "payload_digest")
     joined = keyed.join(firsts, "payload_digest", "left")
     again = (F.col("payload_bytes") >= smallest) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(
@@ -80,7 +80,8 @@ def write_archives(captures: DataFrame, path: str, smallest: int = 0, records_pe
     The commit protocol of Spark's writer applies: a lost executor's files never show up. Nulls: html is
     an empty payload, url is about:blank, page_id has no number. Equal ids with equal payloads are all responses.
     """
-    (records(with_roles(captures, smallest)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path))
+    rows = few_files(records(with_roles(captures, smallest)))
+    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:
@@ -248,4 +249,4 @@ def archive_and_merge(captures: DataFrame, smallest: int = 0, path: str | None =
     spark = captures.sparkSession
     path = path or f"{shared_folder(spark)}/tidegrid/warc-{uuid.uuid4().hex}"
     write_archives(captures, path, smallest)
-    return merge_runs(cut(read_index(spark, path)))
+    return merge_runs(read_index(spark, path))
