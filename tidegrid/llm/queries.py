@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, oracles, secrets, toxicity, urls, warc
+from tidegrid.llm import decontaminate, lattice, neighbours, oracles, secrets, toxicity, urls, warc
 from tidegrid.llm.shared import crc_text, few_files, table
 
 #: Host, path, verdict of the URL rules.
@@ -39,6 +39,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(urls.judge(table(spark, sf_dir, "pages"), rules))
 
 
+def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), crc_text("doc_id") % 7 != 2)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)) % 86_400)
     captures = table(spark, sf_dir, "pages").select("page_id", "url", captured.alias("captured"), "html")
@@ -46,8 +50,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few_files(merged).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
 
 
+def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op6_url_filter, op9_warc)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op6_url_filter, op7_lattice_score, op9_warc, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
