@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, lattice, neighbours, oracles, secrets, toxicity, urls, warc
+from tidegrid.llm import decontaminate, lattice, neighbours, ngram_join, oracles, secrets, toxicity, urls, warc
 from tidegrid.llm.shared import crc_text, few_files, table
 
 #: Host, path, verdict of the URL rules.
@@ -43,6 +43,10 @@ def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), crc_text("doc_id") % 7 != 2)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return few_files(ngram_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)) % 86_400)
     captures = table(spark, sf_dir, "pages").select("page_id", "url", captured.alias("captured"), "html")
@@ -55,7 +59,7 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op6_url_filter, op7_lattice_score, op9_warc, op10_permutation_search)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op6_url_filter, op7_lattice_score, op8_ngram_join, op9_warc, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
