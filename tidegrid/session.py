@@ -25,3 +25,23 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Let the Python workers of a session import this package, wherever the driver imported it from."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    seen = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) + [os.getcwd()] if p]
+    if getattr(context, "_tidegrid_shipped", False) or (context.master.startswith("local[") and root in seen):
+        return spark
+    archive = Path(tempfile.mkdtemp(prefix="tidegrid-")) / "tidegrid_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted((root / "tidegrid").rglob("*.py")):
+            out.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    context._tidegrid_shipped = True
+    return spark
