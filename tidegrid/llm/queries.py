@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, lattice, neighbours, ngram_join, oracles, secrets, toxicity, urls, warc
+from tidegrid.llm import decontaminate, lattice, neighbours, ngram_join, oracles, repeats, secrets, toxicity, urls, warc
 from tidegrid.llm.shared import crc_text, few_files, table
 
 #: Host, path, verdict of the URL rules.
@@ -34,6 +34,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return few_files(urls.judge(table(spark, sf_dir, "pages"), rules))
@@ -59,7 +63,7 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op6_url_filter, op7_lattice_score, op8_ngram_join, op9_warc, op10_permutation_search)}
+    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op5_suffix_dedup, op6_url_filter, op7_lattice_score, op8_ngram_join, op9_warc, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
