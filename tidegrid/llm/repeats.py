@@ -16,6 +16,8 @@ from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, cut, fra
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
 UNIT_BYTES, STEP_BYTES, FRAGMENT_BYTES = 4 << 20, 1 << 20, 24 << 20
+#: Bytes of segments that one transform holds, where their hashes allow it.
+TRANSFORM_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.int64(2**63 - 1)  # the place of a null doc_id: after all others
 KEEP, DROP, OPEN = 0, 1, 2
@@ -47,13 +49,15 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, contents: bool = True):
     """Every window of `length` bytes inside a text belongs to the gram with the smallest hash in it, the
     leftmost of such; consecutive windows of one gram are a segment. Equal windows have equal grams, so they
-    lie in segments of one hash. Returns (text number, first window, last window, hash, content hash)."""
+    lie in segments of one hash. A window has half of what it holds besides the gram on the gram's left, or
+    half on its right; `left` and `right` are a byte of those halves' hashes (0: no window reaches there).
+    Returns (text number, first window, last window, hash, content hash, left, right)."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8)
     hashes = gram_hashes(data, gram)
     place = np.arange(len(hashes), dtype=np.uint64)
     bits = np.uint64(max(1, int(len(hashes)).bit_length()))
@@ -69,21 +73,30 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     starts = np.flatnonzero(new)
     ends = np.r_[starts[1:], len(valid)] - 1 if len(starts) else starts
     first, last = valid[starts], valid[ends]
-    return text[starts], first, last, hashes[at[starts]], span_hashes(data, first, last + length)
+    half, spot, sides = (length - gram) // 2, at[starts], []
+    if not contents:
+        return text[starts], first, last, hashes[spot], hashes[:0], *[np.zeros(0, np.uint8)] * 2
+    for reached, begin, end in ((first <= spot - half, spot - half, spot), (last >= spot - half, spot + gram, spot + length - half)):
+        begin, end = np.where(reached, begin, 0), np.where(reached, end, 0)
+        sides.append(np.where(reached, 1 + span_hashes(data, begin, end) % np.uint64(255), np.uint64(0)).astype(np.uint8))
+    return text[starts], first, last, hashes[spot], span_hashes(data, first, last + length), *sides
 
 
 class Segments:
-    """The segments of a unit's texts, in order of fragment, and their places."""
+    """The segments of a unit's texts, in order of fragment, and their places; with their contents' hashes if asked."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, fragments: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, fragments: int, contents: bool = True):
         parts = []
         for lo, hi in block_slices(offsets, STEP_BYTES):
-            text, first, last, h, g = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram)
-            parts.append((text + lo, first + offsets[lo], last + offsets[lo], h, g))
-        text, first, last, h, g = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else segments(data, offsets, length, gram)
+            text, first, last, *rest = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram, contents)
+            parts.append((text + lo, first + offsets[lo], last + offsets[lo], *rest))
+        text, first, last, h, g, left, right = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else segments(data, offsets, length, gram)
         home = (h % np.uint64(fragments)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        self.text, self.first, self.last, self.hash, self.content = text[order], first[order], last[order], h[order] // np.uint64(fragments), g[order]
+        self.text, self.first, self.last, self.hash, self.content = text[order], first[order], last[order], h[order] // np.uint64(fragments), g
+        self.left, self.right = left, right
+        if contents:
+            self.content, self.left, self.right = g[order], left[order], right[order]
         self.bounds = np.searchsorted(home[order], np.arange(fragments + 1))
 
 
@@ -100,10 +113,10 @@ def _units(batches: Iterable[pa.RecordBatch]):
             n += 1
 
 
-_SENT = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("h4", pa.binary()), ("h1", pa.binary()), ("g4", pa.binary()), ("g2", pa.binary())])
+_SENT = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("h4", pa.binary()), ("g4", pa.binary()), ("g2", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
 _ANSWER = pa.schema([("unit", pa.int64()), ("fragment", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 ANSWER_DDL = "unit long, fragment int, kind int, a binary, b binary, c binary"
-_OPENED = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("numbers", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+_OPENED = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
 
 
 def _send(length: int, gram: int, fragments: int):
@@ -116,7 +129,7 @@ def _send(length: int, gram: int, fragments: int):
                     continue
                 texts, counts = np.unique(s.text[lo:hi], return_counts=True)
                 h, g = s.hash[lo:hi], s.content[lo:hi]
-                row = (f, name, ids[texts].tobytes(), counts.astype(np.uint32).tobytes(), h.astype(np.uint32).tobytes(), (h >> np.uint64(32)).astype(np.uint8).tobytes(), g.astype(np.uint32).tobytes(), (g >> np.uint64(32)).astype(np.uint16).tobytes())
+                row = (f, name, ids[texts].tobytes(), counts.astype(np.uint32).tobytes(), h.astype(np.uint32).tobytes(), g.astype(np.uint32).tobytes(), (g >> np.uint64(32)).astype(np.uint16).tobytes(), s.left[lo:hi].tobytes(), s.right[lo:hi].tobytes())
                 yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(_SENT.names, row, strict=True)}, schema=_SENT)
 
     return run
@@ -128,22 +141,34 @@ def _column(group: pa.Table, name: str, kind) -> np.ndarray:
 
 def _judge(group: pa.Table) -> pa.Table:
     """Of the segments of one fragment: DROP where a smaller document has the same segment; OPEN for the
-    smallest document of each of several segments with one hash; KEEP for the rest."""
+    smallest document of a segment if another one has the same hash and left or right side; KEEP for the rest.
+    Hashes lose their upper bits here, which can only open more."""
     group = group.sort_by("unit")
     doc = np.repeat(_column(group, "ids", np.int64), _column(group, "counts", np.uint32).astype(np.int64))
-    h = _column(group, "h4", np.uint32).astype(np.uint64) | _column(group, "h1", np.uint8).astype(np.uint64) << np.uint64(32)
+    h = _column(group, "h4", np.uint32).astype(np.uint64)
     g = _column(group, "g4", np.uint32).astype(np.uint64) | _column(group, "g2", np.uint16).astype(np.uint64) << np.uint64(32)
-    order = np.lexsort((g, h))
-    h, g = h[order], g[order]
-    new_h = np.r_[True, h[1:] != h[:-1]]
-    new_g = new_h | np.r_[True, g[1:] != g[:-1]]
-    starts = np.flatnonzero(new_g)
-    smallest = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(h)]))
-    run = np.cumsum(new_h) - 1
-    kinds = np.bincount(run, new_g)[run]
-    status = np.where(doc[order] > smallest, DROP, np.where(kinds > 1, OPEN, KEEP)).astype(np.uint8)
-    out = np.empty(len(h), np.uint8)
-    out[order] = status
+    out = np.zeros(len(h), np.uint8)
+    order = np.argsort(h)
+    hs = h[order]
+    run = np.cumsum(np.r_[True, hs[1:] != hs[:-1]]) - 1
+    several = np.bincount(run)[run] > 1
+    order, run = order[several], run[several]
+    if len(order):
+        by = np.lexsort((g[order], run))
+        order, run = order[by], run[by]
+        gs = g[order]
+        new = np.r_[True, (run[1:] != run[:-1]) | (gs[1:] != gs[:-1])]
+        starts = np.flatnonzero(new)
+        smallest = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(order)]))
+        kind = np.cumsum(new) - 1
+        open_ = np.zeros(len(order), bool)
+        for side in ("left", "right"):
+            byte = _column(group, side, np.uint8)[order].astype(np.int64)
+            key = run * 256 + byte
+            pairs, first = np.unique(key * np.int64(len(starts) + 1) + kind, return_index=True)
+            keys, n = np.unique(key[first], return_counts=True)
+            open_ |= (byte > 0) & (n[np.searchsorted(keys, key)] > 1)
+        out[order] = np.where(doc[order] > smallest, DROP, np.where(open_, OPEN, KEEP))
     sizes = [len(x) // 4 for x in group["h4"].to_pylist()]
     parts = np.split(out, np.cumsum(sizes)[:-1])
     n = group.num_rows
@@ -171,7 +196,7 @@ class _Met:
         self.data, self.offsets = np.frombuffer(head["a"], np.uint8), np.frombuffer(head["b"], np.int64)
         n = len(self.offsets) - 1
         self.ids, self.null = np.frombuffer(head["c"][: 8 * n], np.int64), np.frombuffer(head["c"][8 * n :], bool)
-        self.segments = s = Segments(self.data, self.offsets, length, gram, fragments)
+        self.segments = s = Segments(self.data, self.offsets, length, gram, fragments, contents=False)
         self.status = np.full(len(s.text), 255, np.uint8)
         for r in rows:
             if r["kind"] == 0:
@@ -196,7 +221,7 @@ def _open(length: int, gram: int, fragments: int):
             if len(which):
                 size = s.last[which] + length - s.first[which]
                 at = np.repeat(s.first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                row = (f, met.unit, which.astype(np.uint32).tobytes(), ids[s.text[which]].tobytes(), size.astype(np.uint16).tobytes(), met.data[at].tobytes())
+                row = (f, met.unit, (s.hash[which] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), which.astype(np.uint32).tobytes(), ids[s.text[which]].tobytes(), size.astype(np.uint16).tobytes(), met.data[at].tobytes())
                 out.append(dict(zip(_OPENED.names, row, strict=True)))
         return pa.Table.from_pylist(out, schema=_OPENED)
 
@@ -223,17 +248,16 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
         char[: total - k] = text[k:]
         key = (key << np.uint64(9)) | np.where(left >= k, char, 0)
     width, longest = 6, int(sizes.max()) if len(sizes) else 0
-    order = np.argsort(key, kind="stable")
     while True:
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(total, np.int64)
         rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
         if width > longest:
-            return order, text  # equal ranks are equal suffixes: the stable sort keeps the strings' order
+            return np.argsort(rank * np.int64(total) + np.arange(total)), text  # equal suffixes: the strings' order
         following = np.zeros(total, np.int64)
         following[: total - width] = rank[width:] + 1
         key = rank * np.int64(total + 1) + np.where(left >= width, following, 0)
-        order = np.argsort(key, kind="stable")
         width *= 2
 
 
@@ -290,23 +314,38 @@ def repeat_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengt
     return order, np.cumsum(border[:-1]) - 1
 
 
+def windows_of_smaller(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, offset) of the windows that also start in a string with a smaller id."""
+    order, block = repeat_blocks(data, starts, sizes, length)
+    string = np.repeat(np.arange(len(sizes)), sizes + 1)
+    within = np.arange(len(string)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
+    full = (sizes[string] - within)[order] >= length
+    doc = np.where(full, ids[string[order]], _LAST)
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    hit = order[full & (doc > np.minimum.reduceat(doc, first)[block])]
+    return string[hit], within[hit]
+
+
 def _compare(length: int):
     """Of one fragment: the windows of open segments that also start in a smaller document."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("unit")
         ids, sizes = _column(group, "ids", np.int64), _column(group, "sizes", np.uint16).astype(np.int64)
-        data = _column(group, "texts", np.uint8)
-        order, block = repeat_blocks(data, np.cumsum(sizes) - sizes, sizes, length)
-        string = np.repeat(np.arange(len(sizes)), sizes + 1)
-        within = np.arange(len(string)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
-        full = (sizes[string] - within)[order] >= length
-        doc = np.where(full, ids[string[order]], _LAST)
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        smallest = np.minimum.reduceat(doc, starts)[block]
-        hit = order[full & (doc > smallest)]
-        hit.sort()
-        segment, offset = string[hit], within[hit]
+        data, begin = _column(group, "texts", np.uint8), np.cumsum(sizes) - sizes
+        parts = -(-int(sizes.sum()) // TRANSFORM_BYTES)  # equal strings have one hash, so they stay together
+        part = _column(group, "hashes", np.uint16).astype(np.int64) * parts >> 16
+        by = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[by], np.arange(parts + 1))
+        found = []
+        for p in range(parts):
+            which = by[bounds[p] : bounds[p + 1]]
+            if len(which):
+                string, offset = windows_of_smaller(data, begin[which], sizes[which], ids[which], length)
+                found.append((which[string], offset))
+        segment, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(segment, kind="stable")
+        segment, offset = segment[order], offset[order]
         per_row = np.array([len(x) // 2 for x in group["sizes"].to_pylist()])
         row_of = np.repeat(np.arange(group.num_rows), per_row)[segment] if len(segment) else segment
         numbers = _column(group, "numbers", np.uint32)
@@ -364,9 +403,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
     args = length, gram, fragments
-    sent = rows.mapInArrow(_send(*args), "fragment int, unit long, ids binary, counts binary, h4 binary, h1 binary, g4 binary, g2 binary")
+    sent = rows.mapInArrow(_send(*args), "fragment int, unit long, ids binary, counts binary, h4 binary, g4 binary, g2 binary, left binary, right binary")
     judged = cut(sent.groupBy("fragment").applyInArrow(_judge, ANSWER_DDL))
     texts = rows.mapInArrow(_texts, ANSWER_DDL)
-    opened = texts.unionByName(judged).groupBy("unit").applyInArrow(_open(*args), "fragment int, unit long, numbers binary, ids binary, sizes binary, texts binary")
+    opened = texts.unionByName(judged).groupBy("unit").applyInArrow(_open(*args), "fragment int, unit long, hashes binary, numbers binary, ids binary, sizes binary, texts binary")
     compared = cut(opened.groupBy("fragment").applyInArrow(_compare(length), ANSWER_DDL))
     return texts.unionByName(judged).unionByName(compared).groupBy("unit").applyInArrow(_finish(*args), RESULT)
