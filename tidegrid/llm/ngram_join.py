@@ -68,7 +68,7 @@ _SPREAD = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("cids", pa
 SPREAD_DDL = "fragment int, unit long, cids binary, sizes binary, counts binary, low binary, high binary"
 _SHARED = pa.schema([("unit", pa.int64()), ("cids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("grams", pa.binary()), ("dfs", pa.binary())])
 SHARED_DDL = "unit long, cids binary, sizes binary, counts binary, grams binary, dfs binary"
-SETS_DDL = "cid long, n int, cut int, grams array<long>, before int, prefix array<long>"
+SETS_DDL = "cid long, n int, shared int, cut int, grams array<long>, before int, prefix array<long>"
 
 
 def _spread(fragments: int, width: int):
@@ -136,7 +136,7 @@ def _shared(fragments: int):
 
 def _survivors(percent: int):
     """Sets of which so much is shared that they can link at all, cut along the global order (rarer first)."""
-    schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("cut", pa.int32()), ("grams", pa.list_(pa.int64())), ("before", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("cid", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("cut", pa.int32()), ("grams", pa.list_(pa.int64())), ("before", pa.int32()), ("prefix", pa.list_(pa.int64()))])
 
     def run(group: pa.Table) -> pa.Table:
         cids, sizes, counts = _column(group, "cids", np.int64), _column(group, "sizes", np.uint32), _column(group, "counts", np.uint32).astype(np.int64)
@@ -159,7 +159,7 @@ def _survivors(percent: int):
             prefix = n + (-percent * n // 100) + 1 - (n - int(shared[i]))
             edges = lo + np.flatnonzero(np.r_[True, level[lo + 1 : hi] != level[lo : hi - 1]]) if hi > lo else []
             for a, b in zip(edges, [*edges[1:], hi], strict=True):
-                row = int(ids[i]), n, int(level[a]), grams[a:b], int(a) - lo, grams[a : max(a, min(b, lo + prefix))]
+                row = int(ids[i]), n, int(shared[i]), int(level[a]), grams[a:b], int(a) - lo, grams[a : max(a, min(b, lo + prefix))]
                 for k, v in zip(schema.names, row, strict=True):
                     out[k].append(v)
         return pa.Table.from_pydict(out, schema=schema)
@@ -188,9 +188,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def stars(sets: DataFrame) -> DataFrame:
-    """A few pairs that likely link: each set with the smallest set id under some of its n-grams."""
-    some = sets.select("cid", F.explode(F.slice(F.array_sort("grams"), 1, 3)).alias("gram"))
-    centre = some.groupBy("gram").agg(F.min("cid").alias("c")).select(_join_key("gram").alias("k"), "c")
+    """A few pairs that likely link: under some of its n-grams, each set with the set of which the largest
+    part is shared. What edited copies have in common is theirs, not each other's: that is their centre."""
+    own = (F.lit(1.0) - F.col("shared") / F.col("n")).alias("own")
+    some = sets.select("cid", own, (-F.col("n")).alias("n"), F.explode(F.slice(F.array_sort("grams"), 1, 3)).alias("gram"))
+    centre = some.groupBy("gram").agg(F.min(F.struct("own", "n", "cid")).alias("c")).select(_join_key("gram").alias("k"), F.col("c.cid").alias("c"))
     met = some.withColumn("k", _join_key("gram")).join(centre, "k")
     return met.where("cid <> c").select(F.col("cid").alias("a"), F.col("c").alias("b")).distinct()
 
@@ -202,11 +204,10 @@ def open_pairs(sets: DataFrame, found: DataFrame, percent: int = PERCENT) -> Dat
     in one component have nothing to add; of the others come the pairs across components that pass the length
     filter and the positional one."""
     root = sets.select("cid").distinct().join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
-    posts = sets.where(F.size("prefix") > 0).select("cid", "n", "before", F.posexplode("prefix").alias("at", "gram"))
-    shared = sets.groupBy("cid").agg(F.sum(F.size("grams")).alias("shared"))
-    mixed = posts.join(root, "cid").select("cid", "n", "root", "gram", (F.col("before") + F.col("at")).alias("place"))
+    posts = sets.where(F.size("prefix") > 0).select("cid", "n", "shared", "before", F.posexplode("prefix").alias("at", "gram"))
+    mixed = posts.join(root, "cid").select("cid", "n", "root", "gram", (F.col("shared") - F.col("before") - F.col("at")).alias("rest"))
     lists = mixed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(_join_key("gram").alias("k"))
-    mixed = cut(mixed.withColumn("k", _join_key("gram")).join(lists, "k", "left_semi").join(shared, "cid").select("cid", "n", "root", "gram", (F.col("shared") - F.col("place")).alias("rest")))
+    mixed = cut(mixed.withColumn("k", _join_key("gram")).join(lists, "k", "left_semi").drop("k"))
     a = mixed.select(*(F.col(c).alias(f"{c}_a") for c in mixed.columns))
     b = mixed.select(*(F.col(c).alias(f"{c}_b") for c in mixed.columns))
     bound = F.least("rest_a", "rest_b")  # n-grams from this one on, in either
