@@ -1,11 +1,66 @@
-"""The training-text pipeline: stages over documents, each run on everything its predecessor kept."""
+"""The training-text pipeline: stages over documents, each run on everything its predecessor kept.
 
-STAGES = []
+Toxic documents go, one document of each group of near copies stays, documents with benchmark passages go,
+secrets are replaced in the texts that hold them, and what is left gets rates that meet the target mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegrid.llm import decontaminate, mixing, ngram_join, secrets, toxicity
+from tidegrid.llm.queries import MIX_TARGETS
+from tidegrid.llm.shared import crc_text, cut, few_files, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), crc_text("doc_id") % 3 != 1)
+    return toxicity.score(docs, toxicity.fit(sample)).where("tox_predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram similarity links."""
+    return few_files(ngram_join.one_of_each(docs))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    found, _ = secrets.scan_versions(docs)
+    n_chars = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return few_files(secrets.redact(found).withColumn("n_chars", n_chars).select(*docs.columns))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the domains' token totals to the targets; those at rate 0 go. A domain
+    of which nothing is left has its share spread over the others."""
+    labelled = mixing.domains_of_labels(table(spark, sf_dir, "labels")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    left = {r.domain for r in labelled.where("domain is not null").select("domain").distinct().collect()}
+    targets = {d: s for d, s in MIX_TARGETS.items() if d in left}
+    total = sum(targets.values())
+    rates = mixing.mix(docs, labelled, {d: s / total for d, s in targets.items()})
+    return few_files(rates.where("rate > 0"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("secrets", hide_secrets),
+    ("mixing", mix_to_targets),
+]
+#: The first stage learns from labels, which SQL cannot express; the tests check each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

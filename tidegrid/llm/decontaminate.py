@@ -232,3 +232,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR
         found = docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR_RATE, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns as they are, in whose text leaks() would find nothing."""
+    spark, out = docs.sparkSession, docs
+    for part in passes(benchmark):
+        items = sorted((r.item_id, r.text) for r in part.where("item_id is not null and text is not null").select("item_id", "text").collect())
+        index = spark.sparkContext.broadcast(Index(items, q, rate, window))
+
+        def run(batches: Iterable[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [normal(t.as_py()) for t in batch.column("text")]
+                keep = np.ones(len(texts), bool)
+                at = 0
+                while at < len(texts):
+                    end, size = at, 0
+                    while end < len(texts) and (size < BLOCK_CHARS or end == at):
+                        size += len(texts[end])
+                        end += 1
+                    for d, *_ in index.value.search(texts[at:end]):
+                        keep[at + d] = False
+                    at = end
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import _join_key, components
@@ -55,13 +55,14 @@ def _text_units(batches: Iterable[pa.RecordBatch], column: int, width: int):
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_shingles, cid) for every row: the size of its n-gram set, and an id of the set."""
+    """(doc_id, n_shingles, cid, text_hash) for every row: the size of its n-gram set, and an id of the set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, _, sizes, ids in _text_units(batches, 1, width):
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], names=["doc_id", "n_shingles", "cid"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), rows.column(2)], names=["doc_id", "n_shingles", "cid", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return keyed.mapInArrow(run, "doc_id long, n_shingles long, cid long, text_hash long")
 
 
 _SPREAD = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("cids", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
@@ -221,7 +222,7 @@ def open_pairs(sets: DataFrame, found: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, cid, component_id) for every row of docs(doc_id, text).
+    """(doc_id, n_shingles, cid, component_id, text_hash) for every row of docs(doc_id, text).
 
     A document's set is its distinct n-grams of `width` words (fewer words: the whole sequence; none: empty,
     linked with nothing). Two link when 100 x intersection >= percent x union; component_id is the smallest
@@ -245,4 +246,20 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     lows = smallest.groupBy("root").agg(F.min("low").alias("component_id")).select(_join_key("root").alias("k"), "component_id")
     named = smallest.withColumn("k", _join_key("root")).join(lows, "k").select(_join_key("cid").alias("k"), "component_id")
     out = keyed.withColumn("k", _join_key("cid")).join(named, "k", "left")
-    return out.select("doc_id", "n_shingles", "cid", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", "cid", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns as they are, that stay when of each component one does: the smallest
+    doc_id (null last), of several texts under it the smallest hash, of equal rows any one. Documents without
+    words all stay."""
+    found = link_components(docs, width, percent)
+    grouped = found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cid")).alias("c"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    stay = grouped.agg(first).select(F.coalesce("first.doc_id", F.lit(0)).alias("_i"), F.col("first.none").alias("_none"), F.col("first.text_hash").alias("_h"))
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.select(*columns, F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("_i"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_h"))
+    blank = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
+    full = keyed.where(~blank).join(stay.distinct(), ["_i", "_none", "_h"])
+    nth = F.row_number().over(Window.partitionBy("_i", "_none", "_h").orderBy("_i"))
+    return full.withColumn("_n", nth).where("_n = 1").select(*docs.columns).unionByName(docs.where(blank))

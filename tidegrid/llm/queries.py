@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import decontaminate, lattice, neighbours, ngram_join, oracles, repeats, secrets, toxicity, urls, warc
+from tidegrid.llm import decontaminate, lattice, mixing, neighbours, ngram_join, oracles, repeats, secrets, toxicity, urls, warc
 from tidegrid.llm.shared import crc_text, few_files, table
 
 #: Host, path, verdict of the URL rules.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+#: Shares of the token total that the mix aims at.
+MIX_TARGETS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.domains_of_labels(table(spark, sf_dir, "labels"))
+    return few_files(mixing.mix(table(spark, sf_dir, "documents"), labelled, MIX_TARGETS))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_text("doc_id") % 3 == 1
@@ -63,7 +72,7 @@ def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_toxicity, op3_decontaminate, op4_secret_scan, op5_suffix_dedup, op6_url_filter, op7_lattice_score, op8_ngram_join, op9_warc, op10_permutation_search)}
+    return {f.__name__: f for f in (op1_mix, op2_toxicity, op3_decontaminate, op4_secret_scan, op5_suffix_dedup, op6_url_filter, op7_lattice_score, op8_ngram_join, op9_warc, op10_permutation_search)}
 
 
 def oracle_sql() -> dict[str, str]:
