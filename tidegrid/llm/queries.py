@@ -44,7 +44,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return few_files(repeats.remove_repeats(table(spark, sf_dir, "documents")))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, cut, fragments_for, span_hashes, total_bytes
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, span_hashes, total_bytes
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
@@ -398,14 +398,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     the text. Segments that a smaller document has whole are settled by their hashes. What is left open
     (different segments round one gram) goes to a Burrows-Wheeler transform for each fragment, on which the
     common prefixes below `length` are expanded breadth-first. Each text is segmented three times instead of
-    being stored as segments, and no answer leaves the cluster.
+    being stored as segments; both uses of the first answers read one shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
     args = length, gram, fragments
     sent = rows.mapInArrow(_send(*args), "fragment int, unit long, ids binary, counts binary, h4 binary, g4 binary, g2 binary, left binary, right binary")
-    judged = cut(sent.groupBy("fragment").applyInArrow(_judge, ANSWER_DDL))
+    judged = sent.groupBy("fragment").applyInArrow(_judge, ANSWER_DDL)
     texts = rows.mapInArrow(_texts, ANSWER_DDL)
     opened = texts.unionByName(judged).groupBy("unit").applyInArrow(_open(*args), "fragment int, unit long, hashes binary, numbers binary, ids binary, sizes binary, texts binary")
-    compared = cut(opened.groupBy("fragment").applyInArrow(_compare(length), ANSWER_DDL))
+    compared = opened.groupBy("fragment").applyInArrow(_compare(length), ANSWER_DDL)
     return texts.unionByName(judged).unionByName(compared).groupBy("unit").applyInArrow(_finish(*args), RESULT)

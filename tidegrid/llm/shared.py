@@ -26,8 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """At most four partitions a core, merged without a shuffle: as parallel, with fewer small files."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """At most two partitions a core, merged without a shuffle: as parallel, with fewer small files."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def cut(df: DataFrame) -> DataFrame:
