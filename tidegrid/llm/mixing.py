@@ -70,7 +70,7 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS, n: int
     if not domains:
         return Classifier(["all"], [0.0], [], 0.0)
     few = spark.createDataFrame([(r.doc_id, r.domain, r.h % 4 == 3) for r in picked], "doc_id long, domain string, kept boolean")
-    texts = docs.select("doc_id", buckets(F.col("text"), n).alias("b")).join(F.broadcast(few), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", "kept", buckets(F.col("text"), n).alias("b"))
     counted = texts.where("not kept").select("domain", F.explode(F.array_distinct("b")).alias("b")).groupBy("b").agg(*[F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)])
     counted = cut(counted)  # n rows at most
     sums = counted.agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(domains))]).first()
