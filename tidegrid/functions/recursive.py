@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Periods of the smoothed indicators.
@@ -65,15 +66,15 @@ def recursive_columns(df: DataFrame, price: str, osc_price: str, true_range: str
     A ticker's rows meet in one task as a window's would; only the five columns that are needed are read.
     """
     new = [*(f"ema_{n}" for n in EMA_PERIODS), "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist"]
-    slim = df.select("ticker", "date", price, osc_price, true_range)
+    slim = df.select("ticker", "date", F.col(price).alias("_p"), F.col(osc_price).alias("_q"), F.col(true_range).alias("_r"))
     schema = T.StructType([slim.schema["ticker"], slim.schema["date"], *[T.StructField(c, T.DoubleType()) for c in new]])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date", kind="stable")
-        p, q = g[price].to_numpy(float), g[osc_price].to_numpy(float)
+        p, q = g["_p"].to_numpy(float), g["_q"].to_numpy(float)
         out = {"ticker": g["ticker"], "date": g["date"]} | {f"ema_{n}": ema(p, n) for n in EMA_PERIODS}
-        out |= {"atr_14": wilder(g[true_range].to_numpy(float)), "rsi_14": rsi(q)}
+        out |= {"atr_14": wilder(g["_r"].to_numpy(float)), "rsi_14": rsi(q)}
         out |= dict(zip(("macd", "macd_signal", "macd_hist"), macd(q), strict=True))
-        return pd.DataFrame({k: (v if k in ("ticker", "date") else pd.array(v, dtype="Float64").astype(object).where(~np.isnan(v), None)) for k, v in out.items()})
+        return pd.DataFrame({k: (v if k in ("ticker", "date") else pd.array(np.nan_to_num(v), dtype="Float64") if not np.isnan(v).any() else pd.Series(np.where(np.isnan(v), None, v), index=g.index)) for k, v in out.items()})
 
     return df.join(slim.groupBy("ticker").applyInPandas(run, schema), ["ticker", "date"])
