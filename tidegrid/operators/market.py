@@ -151,11 +151,12 @@ def growth(prices: DataFrame, value: str, by: str = "ticker") -> DataFrame:
 
 
 def equal_weight(prices: DataFrame, value: str) -> DataFrame:
-    """(date, growth): each day's mean of the daily returns there are, compounded."""
+    """(date, log_growth, growth): each day's mean of the daily returns there are, compounded."""
     w = Window.partitionBy("ticker").orderBy("date")
     daily = prices.select("date", (ratio(F.col(value), F.lag(value).over(w)) - 1).alias("r")).groupBy("date").agg(F.avg("r").alias("r"))
     line = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select("date", F.exp(F.sum(F.ln(1 + F.coalesce("r", F.lit(0.0)))).over(line)).alias("growth"))
+    total = F.sum(F.ln(1 + F.coalesce("r", F.lit(0.0)))).over(line)
+    return daily.select("date", total.alias("log_growth"), F.exp(total).alias("growth"))
 
 
 def on_union_calendar(series: DataFrame, value: str, by: str = "ticker") -> DataFrame:

@@ -57,10 +57,11 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actions(bars_: DataFrame) -> DataFrame:
-    """A 2:1 split at every 400th bar, a dividend of a hundredth at every 130th."""
-    n = bars_.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    """A 2:1 split at every 400th bar, a small dividend at every 130th."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    n = bars_.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("close").over(w))
     splits = n.where("n % 400 = 0").select("ticker", "date", F.lit("split").alias("action"), F.lit(2.0).alias("value"))
-    paid = n.where("n % 130 = 7").select("ticker", "date", F.lit("dividend").alias("action"), F.round(F.col("close") * 0.01, 4).alias("value"))
+    paid = n.where("n % 130 = 7").select("ticker", "date", F.lit("dividend").alias("action"), (F.col("before") * 0.0005).alias("value"))
     return splits.unionByName(paid)
 
 
@@ -87,6 +88,6 @@ RATES_SQL = """
 rates AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'ESTR' ELSE 'EONIA' END AS series, CAST(o_orderdate AS DATE) AS date, (count(*) % 7) / 2.0 AS rate
   FROM orders WHERE o_custkey % 2 <> 0 OR CAST(o_orderdate AS DATE) >= DATE '1995-01-01' GROUP BY 1, 2)"""
 ACTIONS_SQL = """
-numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM bars),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS before FROM bars),
 actions AS (SELECT ticker, date, 'split' AS action, 2.0::DOUBLE AS value FROM numbered WHERE n % 400 = 0
-  UNION ALL SELECT ticker, date, 'dividend', round(close * 0.01, 4) FROM numbered WHERE n % 130 = 7)"""
+  UNION ALL SELECT ticker, date, 'dividend', before * 0.0005 FROM numbered WHERE n % 130 = 7)"""
