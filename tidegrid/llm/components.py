@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import cut
+from tidegrid.llm.shared import pin
 
 
 def _join_key(column: str):
@@ -38,15 +38,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(u long, v long); root is the smallest node of its component.
 
-    Self-loops and repeated edges are allowed, nulls are dropped. Every round rewrites the edges as a table
-    in the shared folder; the number of rounds is logarithmic in the longest path.
+    Self-loops and repeated edges are allowed, nulls are dropped. Every round checkpoints the edges in the
+    shared folder; the number of rounds is logarithmic in the longest path.
     """
     nodes = edges.where("u is not null and v is not null").select(F.col("u").cast("long"), F.col("v").cast("long"))
     ties = nodes.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    ties = cut(ties)
+    ties = pin(ties)
     state = _digest(ties)
     while True:
-        ties = cut(_small_star(_large_star(ties)))
+        ties = pin(_small_star(_large_star(ties)))
         now = _digest(ties)
         if now == state:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import _join_key, components
-from tidegrid.llm.shared import binary_parts, block_slices, cut, fragments_for, mix, shingle_hashes, span_hashes, total_bytes, words
+from tidegrid.llm.shared import binary_parts, block_slices, cut, fragments_for, mix, pin, shingle_hashes, span_hashes, total_bytes, words
 
 #: Words in an n-gram; documents link when PERCENT % of their union is shared.
 WIDTH, PERCENT = 5, 80
@@ -208,7 +208,7 @@ def open_pairs(sets: DataFrame, found: DataFrame, percent: int = PERCENT) -> Dat
     posts = sets.where(F.size("prefix") > 0).select("cid", "n", "shared", "before", F.posexplode("prefix").alias("at", "gram"))
     mixed = posts.join(root, "cid").select("cid", "n", "root", "gram", (F.col("shared") - F.col("before") - F.col("at")).alias("rest"))
     lists = mixed.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(_join_key("gram").alias("k"))
-    mixed = cut(mixed.withColumn("k", _join_key("gram")).join(lists, "k", "left_semi").drop("k"))
+    mixed = pin(mixed.withColumn("k", _join_key("gram")).join(lists, "k", "left_semi").drop("k"))
     a = mixed.select(*(F.col(c).alias(f"{c}_a") for c in mixed.columns))
     b = mixed.select(*(F.col(c).alias(f"{c}_b") for c in mixed.columns))
     bound = F.least("rest_a", "rest_b")  # n-grams from this one on, in either
@@ -234,13 +234,13 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     of like documents is expanded into its pairs once links hold it together, and none is cut short.
     Null texts are empty; null keys stay and are never a component_id unless alone; other columns are ignored.
     """
-    keyed = cut(classes(docs, width))
+    keyed = pin(classes(docs, width))
     sets = cut(candidate_sets(docs, width, percent))
-    first = cut(verified(stars(sets), sets, percent))
-    tied = cut(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    more = verified(cut(open_pairs(sets, tied, percent)), sets, percent)
+    first = pin(verified(stars(sets), sets, percent))
+    tied = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    more = verified(pin(open_pairs(sets, tied, percent)), sets, percent)
     edges = tied.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    roots = cut(components(cut(edges)))
+    roots = components(pin(edges))
     smallest = keyed.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("low")).join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
     smallest = smallest.select("cid", "low", F.coalesce("root", "cid").alias("root"))
     lows = smallest.groupBy("root").agg(F.min("low").alias("component_id")).select(_join_key("root").alias("k"), "component_id")
