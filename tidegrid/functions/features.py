@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.frames import W_T, positive, ratio, rolled, rows
+from tidegrid.operators.frames import w_t, positive, ratio, rolled, rows
 
 #: Horizons, windows and levels of the feature panel.
 HORIZONS = (1, 5, 21, 63, 126, 252)
@@ -26,17 +26,17 @@ def _col(x: str | Column) -> Column:
 
 def simple_return(p: str | Column, h: int) -> Column:
     p = _col(p)
-    return ratio(p, F.lag(p, h).over(W_T)) - 1
+    return ratio(p, F.lag(p, h).over(w_t())) - 1
 
 
 def log_return(p: str | Column, h: int) -> Column:
     p = _col(p)
-    return F.ln(p) - F.lag(F.ln(p), h).over(W_T)
+    return F.ln(p) - F.lag(F.ln(p), h).over(w_t())
 
 
 def skip_return(p: str | Column, span: int, skip: int = SKIP) -> Column:
     p = _col(p)
-    return ratio(F.lag(p, skip).over(W_T), F.lag(p, span).over(W_T)) - 1
+    return ratio(F.lag(p, skip).over(w_t()), F.lag(p, span).over(w_t())) - 1
 
 
 def returns(p: str) -> dict[str, Column]:
@@ -60,7 +60,7 @@ def downside_deviation(logret: str, n: int = 63) -> Column:
 
 def true_range(high: str, low: str, close: str) -> Column:
     """Largest of the bar's range and its reach from the close before; missing if any part is."""
-    before = F.lag(close, 1).over(W_T)
+    before = F.lag(close, 1).over(w_t())
     parts = [F.col(high) - F.col(low), F.abs(F.col(high) - before), F.abs(F.col(low) - before)]
     return F.when(parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull(), F.greatest(*parts))
 
@@ -88,7 +88,7 @@ def distance(p: str, average: str) -> Column:
 
 
 def slope(average: str, n: int = SLOPE) -> Column:
-    return ratio(F.col(average), F.lag(average, n).over(W_T)) - 1
+    return ratio(F.col(average), F.lag(average, n).over(w_t())) - 1
 
 
 def trend_state(fast: str = "sma_50", slow: str = "sma_200") -> Column:
@@ -97,7 +97,7 @@ def trend_state(fast: str = "sma_50", slow: str = "sma_200") -> Column:
 
 def crosses(state: str) -> dict[str, Column]:
     """Events against the last defined state, over stored bars only: put gaps aside before."""
-    before = F.last(state, ignorenulls=True).over(W_T.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(state, ignorenulls=True).over(w_t().rowsBetween(Window.unboundedPreceding, -1))
     s = F.col(state)
     known = s.isNotNull()
     return {
@@ -109,7 +109,7 @@ def crosses(state: str) -> dict[str, Column]:
 def stoch_k(high: str, low: str, close: str, n: int = 14) -> Column:
     frame = rows(n)
     top, bottom = F.max(high).over(frame), F.min(low).over(frame)
-    full = (F.row_number().over(W_T) >= n) & (F.count(F.col(high) + F.col(low)).over(frame) >= -(-9 * n // 10)) & F.col(close).isNotNull()
+    full = (F.row_number().over(w_t()) >= n) & (F.count(F.col(high) + F.col(low)).over(frame) >= -(-9 * n // 10)) & F.col(close).isNotNull()
     k = F.when(top == bottom, 50.0).otherwise(100 * ratio(F.col(close) - bottom, top - bottom))
     return F.when(full, F.greatest(F.least(k, F.lit(100.0)), F.lit(0.0)))
 
@@ -140,16 +140,16 @@ def volume_zscore(ev: str, n: int = 63) -> Column:
     frame = rows(n, end=-1)
     flat = F.max(x).over(frame) == F.min(x).over(frame)
     z = ratio(x - F.avg(x).over(frame), F.stddev_samp(x).over(frame))
-    return F.when((F.count(x).over(frame) >= -(-9 * n // 10)) & (F.row_number().over(W_T) > n) & ~flat, z)
+    return F.when((F.count(x).over(frame) >= -(-9 * n // 10)) & (F.row_number().over(w_t()) > n) & ~flat, z)
 
 
 def signed_value(p: str, ev: str) -> Column:
     """Value traded with the sign of the price change; nothing known counts as 0."""
-    return F.coalesce(F.signum(F.col(p) - F.lag(p, 1).over(W_T)) * F.col(ev), F.lit(0.0))
+    return F.coalesce(F.signum(F.col(p) - F.lag(p, 1).over(w_t())) * F.col(ev), F.lit(0.0))
 
 
 def on_balance_volume(signed: str, ev: str) -> Column:
-    return F.when(F.col(ev).isNotNull(), F.sum(signed).over(W_T.rowsBetween(Window.unboundedPreceding, 0)))
+    return F.when(F.col(ev).isNotNull(), F.sum(signed).over(w_t().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def obv_flow(signed: str, ev: str, n: int = 21) -> Column:
@@ -166,14 +166,14 @@ def rolling_beta(own: str, market: str, n: int = BETA, pairs: int = BETA_PAIRS)
     x, y = F.when(both, F.col(market)), F.when(both, F.col(own))
     frame = rows(n)
     var_m, cov, var_i = F.var_pop(x).over(frame), F.covar_pop(x, y).over(frame), F.var_pop(y).over(frame)
-    ok = (F.row_number().over(W_T) > n) & (F.count(x).over(frame) >= pairs) & (var_m > 1e-16)
+    ok = (F.row_number().over(w_t()) > n) & (F.count(x).over(frame) >= pairs) & (var_m > 1e-16)
     rest = F.greatest(var_i - ratio(cov * cov, var_m), F.lit(0.0))
     return {"beta_252": F.when(ok, ratio(cov, var_m)), "idio_vol_252": F.when(ok, F.sqrt(rest * YEAR))}
 
 
 def residual_momentum(p: str, market: str, beta: str, span: int = 252, skip: int = SKIP) -> Column:
-    own = F.lag(F.ln(p), skip).over(W_T) - F.lag(F.ln(p), span).over(W_T)
-    wide = F.lag(F.ln(market), skip).over(W_T) - F.lag(F.ln(market), span).over(W_T)
+    own = F.lag(F.ln(p), skip).over(w_t()) - F.lag(F.ln(p), span).over(w_t())
+    wide = F.lag(F.ln(market), skip).over(w_t()) - F.lag(F.ln(market), span).over(w_t())
     return own - F.col(beta) * wide
 
 
@@ -184,7 +184,7 @@ def adjusted(x: str, close: str = "close", adj_close: str = "adj_close") -> Colu
 
 def forward_return(p: str, n: int) -> Column:
     """The one column that looks ahead: the label."""
-    return ratio(F.lead(p, n).over(W_T), F.col(p)) - 1
+    return ratio(F.lead(p, n).over(w_t()), F.col(p)) - 1
 
 
 def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:

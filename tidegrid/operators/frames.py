@@ -7,26 +7,29 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W_T = Window.partitionBy("ticker").orderBy("date")
-W_D = Window.partitionBy("date")
 COVERAGE = 0.9
 
 
-def rows(n: int, window=W_T, end: int = 0):
+def w_t():
+    """Rows of a ticker in date order. Made on use: a window needs a session, a module must not."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def rows(n: int, window=None, end: int = 0):
     """The n rows that end `end` rows after the current one (negative: before)."""
-    return window.rowsBetween(end - n + 1, end)
+    return (window or w_t()).rowsBetween(end - n + 1, end)
 
 
 def need(n: int) -> int:
     return math.ceil(COVERAGE * n)
 
 
-def rolled(agg: Column, value: Column, n: int, warm: int | None = None, window=W_T, least: int | None = None, end: int = 0) -> Column:
+def rolled(agg: Column, value: Column, n: int, warm: int | None = None, window=None, least: int | None = None, end: int = 0) -> Column:
     """agg over n rows where at least 90 % of them hold a value, and not before `warm` rows lie behind."""
     frame = rows(n, window, end)
     ok = F.count(value).over(frame) >= (need(n) if least is None else least)
     if warm:
-        ok = ok & (F.row_number().over(window) > warm)
+        ok = ok & (F.row_number().over(window or w_t()) > warm)
     return F.when(ok, agg.over(frame))
 
 
@@ -137,6 +140,6 @@ def sector_demean(value: Column, sector: str = "sector", least: int = 3) -> Colu
 # ---- gaps and islands -------------------------------------------------------------------------
 
 
-def island_ids(starts: Column, window=W_T) -> Column:
+def island_ids(starts: Column, window=None) -> Column:
     """A number that grows by one at each row where `starts` holds."""
-    return F.sum(F.when(starts, 1).otherwise(0)).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return F.sum(F.when(starts, 1).otherwise(0)).over((window or w_t()).rowsBetween(Window.unboundedPreceding, 0))

@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from tidegrid.operators.frames import ratio
 
-W_S = Window.partitionBy("series").orderBy("date")
 #: Bootstrap block, resamples, level and seed.
 BLOCK, RESAMPLES, LEVEL, SEED = 21, 5000, 0.95, 39
 
 
+def w_s():
+    """Rows of a series in date order."""
+    return Window.partitionBy("series").orderBy("date")
+
+
 def session_returns(curve: DataFrame, value: str = "value") -> DataFrame:
-    return curve.select("series", "date", value, (ratio(F.col(value), F.lag(value).over(W_S)) - 1).alias("ret"))
+    return curve.select("series", "date", value, (ratio(F.col(value), F.lag(value).over(w_s())) - 1).alias("ret"))
 
 
 def year_fraction(start: dt.date, end: dt.date) -> float:
@@ -70,17 +74,17 @@ def summary(returns: DataFrame, value: str = "value", periods: float = 252.0) ->
 
 
 def drawdown_series(curve: DataFrame, value: str = "value") -> DataFrame:
-    peak = F.max(value).over(W_S.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max(value).over(w_s().rowsBetween(Window.unboundedPreceding, 0))
     return curve.select("series", "date", value, peak.alias("peak"), (ratio(F.col(value), peak) - 1).alias("drawdown"))
 
 
 def drawdown_episodes(curve: DataFrame, value: str = "value") -> DataFrame:
     """(series, peak, trough, recovery, depth, sessions, days): from the last equal peak to the first date at or
     above it; recovery is null while below."""
-    before = F.max(value).over(W_S.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max(value).over(w_s().rowsBetween(Window.unboundedPreceding, -1))
     at_peak = F.coalesce(F.col(value) >= before, F.lit(True))
-    marked = curve.withColumn("_top", at_peak).withColumn("_id", F.sum(F.when(F.col("_top"), 1).otherwise(0)).over(W_S.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumn("_next", F.min(F.when(F.col("_top"), F.col("date"))).over(W_S.rowsBetween(1, Window.unboundedFollowing)))
+    marked = curve.withColumn("_top", at_peak).withColumn("_id", F.sum(F.when(F.col("_top"), 1).otherwise(0)).over(w_s().rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("_next", F.min(F.when(F.col("_top"), F.col("date"))).over(w_s().rowsBetween(1, Window.unboundedFollowing)))
     runs = marked.groupBy("series", "_id").agg(
         F.min("date").alias("peak"), F.min_by("date", F.struct(F.col(value), F.col("date"))).alias("trough"), F.min_by("_next", "date").alias("recovery"),
         ratio(F.min(value), F.max_by(value, F.col("_top").cast("int"))).alias("_r"), F.count("*").alias("_n"), F.max("date").alias("_last"),
@@ -100,7 +104,7 @@ def turnover(trades: DataFrame, equity: DataFrame, periods: float = 252.0) -> Da
 
 def holding_spells(positions: DataFrame, axis: DataFrame) -> DataFrame:
     """(series, ticker, start, end, sessions): unbroken holdings on the axis(series, date)."""
-    numbered = axis.select("series", "date").distinct().withColumn("_i", F.row_number().over(W_S))
+    numbered = axis.select("series", "date").distinct().withColumn("_i", F.row_number().over(w_s()))
     w = Window.partitionBy("series", "ticker").orderBy("date")
     held = positions.join(numbered, ["series", "date"]).withColumn("_run", F.col("_i") - F.row_number().over(w))
     return held.groupBy("series", "ticker", "_run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("sessions")).drop("_run")
@@ -118,7 +122,7 @@ def period_returns(curve: DataFrame, unit: str = "year", value: str = "value") -
 
 
 def rolling_sharpe(returns: DataFrame, n: int = 252, periods: float = 252.0) -> DataFrame:
-    frame = W_S.rowsBetween(-(n - 1), 0)
+    frame = w_s().rowsBetween(-(n - 1), 0)
     x = F.col("excess") if "excess" in returns.columns else F.col("ret")
     return returns.select("series", "date", F.when(F.count(x).over(frame) == n, ratio(F.avg(x).over(frame), F.stddev_samp(x).over(frame)) * F.sqrt(F.lit(periods))).alias("sharpe"))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.operators.frames import W_T, island_ids
+from tidegrid.operators.frames import w_t, island_ids
 from tidegrid.operators.upsert import append_only
 
 #: Each check's severity, in the order of reports; thresholds.
@@ -63,7 +63,7 @@ def moves(bars: DataFrame, splits: DataFrame) -> DataFrame:
     tagged = tagged.withColumn("_run", F.coalesce("_run", F.lit(0)))
     ratios = F.collect_list("ratio").over(Window.partitionBy("ticker", "_run"))
     own = tagged.withColumn("ratios", ratios).where("_side = 1")
-    move = F.col("close") / F.lag("close").over(W_T)
+    move = F.col("close") / F.lag("close").over(w_t())
     odd = own.withColumn("move", move).where(F.abs(F.col("move") - 1) > MOVE)
     explained = F.exists("ratios", lambda r: F.abs(F.col("move") * r - 1) <= MOVE)
     return odd.where(~explained).select("ticker", "date", "move")
@@ -71,7 +71,7 @@ def moves(bars: DataFrame, splits: DataFrame) -> DataFrame:
 
 def flat_runs(bars: DataFrame, least: int = FLAT_RUN) -> DataFrame:
     """(ticker, start, end, n): runs of one unchanged close; a missing close ends a run."""
-    starts = ~F.coalesce(F.col("close") == F.lag("close").over(W_T), F.lit(False))
+    starts = ~F.coalesce(F.col("close") == F.lag("close").over(w_t()), F.lit(False))
     runs = bars.select("ticker", "date", "close", island_ids(starts).alias("_run")).where("close is not null")
     return runs.groupBy("ticker", "_run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n")).where(F.col("n") >= least).drop("_run")
 

@@ -40,10 +40,10 @@ def with_(*parts: str, result: str) -> str:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly bars per brand, 12-1 momentum in months, ranks within the month."""
-    from tidegrid.operators.frames import W_T, cross_rank, ratio
+    from tidegrid.operators.frames import w_t, cross_rank, ratio
 
     monthly = H.bars(spark, sf_dir, monthly=True)
-    momentum = ratio(F.lag("close", 1).over(W_T), F.lag("close", 12).over(W_T)) - 1
+    momentum = ratio(F.lag("close", 1).over(w_t()), F.lag("close", 12).over(w_t())) - 1
     df = monthly.select("ticker", "date", "close", momentum.alias("mom_12_1"))
     return df.withColumn("mom_12_1_rank", cross_rank(F.col("mom_12_1")))
 

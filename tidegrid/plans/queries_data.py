@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidegrid import pit
 from tidegrid.operators import market as M
 from tidegrid.operators import quality as Q
-from tidegrid.operators.frames import W_T, carry_onto, session_grid
+from tidegrid.operators.frames import w_t, carry_onto, session_grid
 from tidegrid.operators.upsert import compare, counts
 from tidegrid.plans import harness as H
 from tidegrid.plans.catalog import query, with_
@@ -289,7 +289,7 @@ def market(spark, sf):
 
 
 def bad_bars(b):
-    n = b.withColumn("n", F.row_number().over(W_T))
+    n = b.withColumn("n", F.row_number().over(w_t()))
     close = F.when(F.col("n") % 89 == 5, F.lit(None)).when((F.col("n") % 101).between(10, 15), 500.0).when(F.col("n") % 83 == 1, F.col("high") * 1.5).otherwise(F.col("close"))
     return n.select("ticker", "date", "open", F.when(F.col("n") % 97 == 3, F.col("low") / 2).otherwise(F.col("high")).alias("high"), "low", close.alias("close"), "volume")
 
@@ -370,7 +370,7 @@ def c16_quarantine(spark, sf):
     b, a = act(spark, sf)
     bad = bad_bars(b)
     triaged = Q.apply_triage(Q.bar_flags(bad, M.events(a, "split")), rules(spark), H.listings(spark, sf))
-    n = bad.withColumn("n", F.row_number().over(W_T)).where("n % 89 in (5, 7)")
+    n = bad.withColumn("n", F.row_number().over(w_t())).where("n % 89 in (5, 7)")
     then, now = F.lit("2020-01-01").cast("timestamp"), F.lit("2021-01-01").cast("timestamp")
     old = n.select("ticker", "date", F.lit("bad_price").alias("check"), "open", "high", "low", "close", "volume", F.lit("error").alias("severity"), F.lit("").alias("detail"), F.lit("").alias("reason"), then.alias("quarantined_at"), F.lit(None).cast("timestamp").alias("released_at"))
     records, _ = Q.apply_quarantine(old, triaged, bad, now)

@@ -13,8 +13,13 @@ class SchemaError(ValueError):
     """A frame that does not have the declared columns, types or keys."""
 
 
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "long": T.LongType(), "int": T.IntegerType(), "timestamp": T.TimestampType()}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from `name type [not null], ...`, made without a session."""
+    fields = [x.split() for x in text.split(",")]
+    return T.StructType([T.StructField(f[0], _TYPES[f[1]], len(f) == 2) for f in fields])
 
 
 BARS = _struct("ticker string not null, date date not null, open double, high double, low double, close double, volume double, close_eur double, quarantined boolean")
