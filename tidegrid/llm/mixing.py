@@ -115,8 +115,8 @@ def solve(members: DataFrame, names: list[str], targets: np.ndarray, rounds: int
 
     Minimises gap' W gap over rates >= 0: gap is the domains' expected token totals less the targets, W the
     inverse Gram matrix of the memberships, weighted by tokens. In variables scaled by the root of a document's
-    tokens the gradient's Lipschitz constant is then 1, and a gradient step has length 1. A step under the Gram
-    matrix of the documents whose rate is above 0 is tried first and kept if it lowers the objective.
+    tokens the gradient's Lipschitz constant is then 1, and a gradient step has length 1. Steps under the Gram
+    matrix of the documents whose rate is above 0 are tried first and kept if they lower the objective.
     A round is one aggregation to domains x (domains + 3) / 2 numbers.
     """
     k = len(names)
@@ -139,17 +139,19 @@ def solve(members: DataFrame, names: list[str], targets: np.ndarray, rounds: int
     inverse = lambda gram: np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     gap, active = at(pulls)
     metric = inverse(active)  # every rate is above 0 at the start
+    first = float(gap @ metric @ gap)
     for _ in range(rounds):
         worth = float(gap @ metric @ gap)
         if np.abs(gap).max() <= TOLERANCE * max(1.0, np.abs(targets).max()):
             break
-        for way in (inverse(active), metric):
-            steps = [*pulls, (way @ gap).tolist()]
+        newton, plain = inverse(active) @ gap, metric @ gap
+        for pull in (newton, newton / 4, newton / 16, plain):
+            steps = [*pulls, pull.tolist()]
             new_gap, new_active = at(steps)
             new_worth = float(new_gap @ metric @ new_gap)
-            if new_worth < worth:
+            if new_worth < worth * 0.98:
                 break
-        if new_worth > worth * (1 - 1e-10):
+        if worth - new_worth < 1e-5 * first:
             break
         pulls, gap, active = steps, new_gap, new_active
     return start, pulls
