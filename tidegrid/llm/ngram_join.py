@@ -15,7 +15,7 @@ from tidegrid.llm.shared import binary_parts, block_slices, cut, fragments_for,
 
 #: Words in an n-gram; documents link when PERCENT % of their union is shared.
 WIDTH, PERCENT = 5, 80
-UNIT_BYTES, FRAGMENT_BYTES = 4 << 20, 24 << 20
+UNIT_BYTES, FRAGMENT_BYTES = 4 << 20, 8 << 20
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 
 
@@ -114,13 +114,13 @@ def _shared(fragments: int):
         one = np.zeros(len(cids), bool)
         one[first] = True
         grams = _column(group, "low", np.uint32).astype(np.uint64) | _column(group, "high", np.uint16).astype(np.uint64) << np.uint64(32)
-        grams, owner = grams[np.repeat(one, counts)], np.repeat(np.arange(len(cids)), np.where(one, counts, 0))
+        grams, owner = grams[np.repeat(one, counts)], np.repeat(np.arange(len(cids), dtype=np.int32), np.where(one, counts, 0))
         order = np.argsort(grams, kind="stable")
         grams, owner = grams[order], owner[order]
         starts = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
         df = np.diff(np.r_[starts, len(grams)])
-        many = np.repeat(df, df) >= 2
-        df, grams, owner = np.repeat(df, df)[many], grams[many], owner[many]
+        many = np.repeat(df >= 2, df)
+        df, grams, owner = np.repeat(df[df >= 2], df[df >= 2]), grams[many], owner[many]
         order = np.argsort(owner, kind="stable")
         owner, grams, df = owner[order], grams[order] * np.uint64(fragments) + fragment, df[order]
         out = []
