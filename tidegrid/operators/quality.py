@@ -84,7 +84,7 @@ def bar_flags(bars: DataFrame, splits: DataFrame) -> DataFrame:
     one = marked.where("_n = 1")
     bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.col(c) <= 0) for c in PRICES])
     inverted = F.col("high") < F.col("low")
-    outside = (F.col("close") > F.col("high") * (1 + SLACK)) | (F.col("close") < F.col("low") * (1 - SLACK))
+    outside = (F.col("close") > F.col("high") + SLACK * F.abs("high")) | (F.col("close") < F.col("low") - SLACK * F.abs("low"))
     runs = flat_runs(one)
     # one scan for the checks of a single row
     single = F.array(*[

@@ -6,12 +6,12 @@ import datetime as dt
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions import features as X
 from tidegrid.functions.recursive import recursive_columns
-from tidegrid.operators.frames import carry_onto, cross_rank, cross_zscore, positive, ratio, sector_demean, session_grid
+from tidegrid.operators.frames import carry_onto, clip, finite, positive, ratio, sector_demean, session_grid
 from tidegrid.pit import guard, resolve_as_of
 from tidegrid.sources.store import incremental_panel
 
@@ -75,13 +75,32 @@ def features(prices: DataFrame, sessions: DataFrame, listings: DataFrame, benchm
 
 
 def normalise(df: DataFrame, columns: list[str] = COMPARABLE, min_names: int = MIN_NAMES, mask: Column | None = None) -> DataFrame:
-    """df with a rank and a z-score within the date for each column: one shuffle by date, a sort for each order."""
-    out = {}
-    for c in columns:
-        x = F.when(F.col(c) > 0, F.ln(c)) if c in LOGGED else F.col(c)
-        out[f"{c}_rank"] = cross_rank(F.col(c), min_names, mask=mask)
-        out[f"{c}_z"] = cross_zscore(x, min_names, Z_LIMIT, mask=mask)
-    return df.select("*", *[c.alias(k) for k, c in out.items()])
+    """df(date, ticker, ...) with a rank and a z-score within the date for each column.
+
+    The columns are laid out as rows (column, value) inside each date's partition, so one window serves all of
+    them and one shuffle by date serves the window and the way back; the other columns travel with the first.
+    """
+    row = F.struct(*df.columns)
+    empty = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
+    items = []
+    for i, c in enumerate(columns):
+        x = finite(F.col(c)) if mask is None else F.when(mask, finite(F.col(c)))
+        z = F.when(x > 0, F.ln(x)) if c in LOGGED else x
+        items.append(F.struct(F.lit(i).alias("i"), x.cast("double").alias("x"), z.cast("double").alias("z"), (row if i == 0 else empty).alias("row")))
+    long = df.repartition("date").select("date", "ticker", F.inline(F.array(*items)))
+    every = Window.partitionBy("date", "i")
+    order = every.orderBy(F.col("x").asc_nulls_last())
+    peers = F.count(F.lit(1)).over(order.rangeBetween(0, 0))
+    n, nz, known = F.count("x").over(every), F.count("z").over(every), F.col("x").isNotNull()
+    place = F.rank().over(order) + (peers - 1) / F.lit(2.0)
+    rank = F.when(known & (n >= min_names), F.when(n > 1, (place - 1) / (n - 1)).otherwise(0.5))
+    flat = F.max("z").over(every) == F.min("z").over(every)
+    score = F.when(F.col("z").isNotNull() & (nz >= min_names), F.when(flat, 0.0).otherwise(ratio(F.col("z") - F.avg("z").over(every), F.stddev_pop("z").over(every))))
+    score = clip(score, -Z_LIMIT, Z_LIMIT) if Z_LIMIT else score
+    done = long.select("date", "ticker", "i", "row", rank.alias("rank"), score.alias("score"))
+    back = done.groupBy("date", "ticker").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(F.struct("i", "rank", "score"))).alias("s"))
+    extra = [F.get("s", F.lit(i))[k].alias(f"{c}_{name}") for i, c in enumerate(columns) for k, name in (("rank", "rank"), ("score", "z"))]
+    return back.select("row.*", *extra)
 
 
 def build(prices: DataFrame, sessions: DataFrame, listings: DataFrame, benchmark: DataFrame, *, as_of) -> DataFrame:
