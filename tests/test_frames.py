@@ -49,6 +49,18 @@ def test_drawdown_in_window(spark):
     assert column(df, "d")[3:] == [pytest.approx(-0.5), pytest.approx(-0.5), pytest.approx(-0.2)]
 
 
+def test_both_drawdowns_agree(spark):
+    import numpy as np
+
+    from tidegrid.functions.recursive import drawdown
+
+    rng = np.random.default_rng(2)
+    p = 50 * np.exp(np.cumsum(rng.normal(0, 0.02, 60)))
+    p[rng.random(60) < 0.05] = np.nan
+    df = series(spark, [None if np.isnan(v) else float(v) for v in p]).withColumn("d", X.max_drawdown("p", 20))
+    assert [np.nan if v is None else v for v in column(df, "d")] == pytest.approx(drawdown(p, 20).tolist(), nan_ok=True)
+
+
 def test_crosses_and_flat_defaults(spark):
     df = series(spark, [1.0, -1.0, None, 1.0, 1.0], name="s")
     out = X.with_columns(df, X.crosses("s"))

@@ -60,12 +60,24 @@ def macd(p: np.ndarray, fast: int = MACD[0], slow: int = MACD[1], signal: int =
     return line, smooth, line - smooth
 
 
+def drawdown(p: np.ndarray, n: int = 252) -> np.ndarray:
+    """Worst fall from the running peak inside each window of n + 1 rows, of which 90 % must have a price."""
+    padded = np.r_[np.full(n, np.nan), p]
+    out = np.full(len(p), np.nan)
+    for at in range(0, len(p), 2000):  # a bounded number of windows at once
+        w = np.lib.stride_tricks.sliding_window_view(padded[at : at + 2000 + n], n + 1)[: len(p) - at]
+        with np.errstate(invalid="ignore"):
+            fall = np.where(np.isnan(w), 0.0, w / np.fmax.accumulate(w, axis=1) - 1).min(axis=1)
+        out[at : at + len(w)] = np.where((~np.isnan(w)).sum(axis=1) >= -(-9 * (n + 1) // 10), fall, np.nan)
+    return out
+
+
 def recursive_columns(df: DataFrame, price: str, osc_price: str, true_range: str) -> DataFrame:
-    """df with ema_*, atr_14, rsi_14, macd, macd_signal, macd_hist; one task a ticker, series stay in date order.
+    """df with ema_*, atr_14, rsi_14, macd, macd_signal, macd_hist, mdd_252d; one task a ticker, in date order.
 
     A ticker's rows meet in one task as a window's would; only the five columns that are needed are read.
     """
-    new = [*(f"ema_{n}" for n in EMA_PERIODS), "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist"]
+    new = [*(f"ema_{n}" for n in EMA_PERIODS), "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist", "mdd_252d"]
     slim = df.select("ticker", "date", F.col(price).alias("_p"), F.col(osc_price).alias("_q"), F.col(true_range).alias("_r"))
     schema = T.StructType([slim.schema["ticker"], slim.schema["date"], *[T.StructField(c, T.DoubleType()) for c in new]])
 
@@ -73,7 +85,7 @@ def recursive_columns(df: DataFrame, price: str, osc_price: str, true_range: str
         g = g.sort_values("date", kind="stable")
         p, q = g["_p"].to_numpy(float), g["_q"].to_numpy(float)
         out = {"ticker": g["ticker"], "date": g["date"]} | {f"ema_{n}": ema(p, n) for n in EMA_PERIODS}
-        out |= {"atr_14": wilder(g["_r"].to_numpy(float)), "rsi_14": rsi(q)}
+        out |= {"atr_14": wilder(g["_r"].to_numpy(float)), "rsi_14": rsi(q), "mdd_252d": drawdown(p)}
         out |= dict(zip(("macd", "macd_signal", "macd_hist"), macd(q), strict=True))
         return pd.DataFrame({k: (v if k in ("ticker", "date") else pd.array(np.nan_to_num(v), dtype="Float64") if not np.isnan(v).any() else pd.Series(np.where(np.isnan(v), None, v), index=g.index)) for k, v in out.items()})
 

@@ -63,7 +63,7 @@ def features(prices: DataFrame, sessions: DataFrame, listings: DataFrame, benchm
     )
     g = X.with_columns(g, {"ev": X.eur_volume(), "tr": X.true_range("ah", "al", "q"), **{f"sma_{n}": X.sma("p", n) for n in X.AVERAGES}})
     g = recursive_columns(g, "p", "q", "tr")
-    g = X.with_columns(g, X.returns("p") | X.momentum("p") | {"rm": X.log_return("m", 1), "sg": X.signed_value("q", "ev"), "stoch_k": X.stoch_k("ah", "al", "q"), "bb_pctb": X.percent_b("q"), "mdd_252d": X.max_drawdown("p")})
+    g = X.with_columns(g, X.returns("p") | X.momentum("p") | {"rm": X.log_return("m", 1), "sg": X.signed_value("q", "ev"), "stoch_k": X.stoch_k("ah", "al", "q"), "bb_pctb": X.percent_b("q")})
     wide = {f"vol_{n}d": X.realized_vol("logret_1d", n) for n in X.VOLATILITY} | {"downdev_63d": X.downside_deviation("logret_1d"), "atr_14_pct": ratio(F.col("atr_14"), F.col("q")), "stoch_d": X.stoch_d("stoch_k")}
     wide |= {f"dist_{k}_{n}": X.distance("p", f"{k}_{n}") for k in ("sma", "ema") for n in X.AVERAGES} | {f"slope_{k}_{n}": X.slope(f"{k}_{n}") for k in ("sma", "ema") for n in X.AVERAGES}
     wide |= {f"{c}_pct": ratio(F.col(c), F.col("q")) for c in ("macd", "macd_signal", "macd_hist")}
