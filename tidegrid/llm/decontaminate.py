@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import PLACE_CODES
+from tidegrid.llm.shared import PLACE_CODES, prepare
 
 #: Characters in a q-gram, edits allowed per character, and characters in a passage that counts as a leak.
 Q, ERROR_RATE, WINDOW = 8, 0.1, 100
@@ -204,6 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR
     empty tables give none. Other columns are ignored.
     """
     spark = docs.sparkSession
+    prepare(spark)
     out = None
     for part in passes(benchmark):
         items = sorted((r.item_id, r.text) for r in part.where("item_id is not null and text is not null").select("item_id", "text").collect())
@@ -237,6 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR_RATE, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns as they are, in whose text leaks() would find nothing."""
     spark, out = docs.sparkSession, docs
+    prepare(spark)
     for part in passes(benchmark):
         items = sorted((r.item_id, r.text) for r in part.where("item_id is not null and text is not null").select("item_id", "text").collect())
         index = spark.sparkContext.broadcast(Index(items, q, rate, window))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, mix, span_hashes, total_bytes, words
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, mix, prepare, span_hashes, total_bytes, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes that share one table of distinct words, and bytes of text for each fragment of the vocabulary.
@@ -340,6 +340,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataF
     and null keys stay; empty tables give none. Other columns are ignored.
     """
     spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
     first = spark.sparkContext.broadcast(Pieces.from_model(vocabulary))

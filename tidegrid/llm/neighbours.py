@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegrid.llm.shared import prepare
+
 #: Pivots (a bounded sample of the vectors), how many nearest ones represent a vector, and the share of each
 #: block of vectors (and the least number) that the footrule passes on to exact scores.
 PIVOTS, NEAREST, RERANK_SHARE, RERANK_LEAST = 256, 64, 0.2, 256
@@ -89,6 +91,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id"
     most PASS_BYTES, each against all rows in blocks: a block returns k rows for each query.
     """
     spark = vectors.sparkSession
+    prepare(spark)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).where("id is not null and v is not null and size(v) > 0")
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     size = sizes[0].n if sizes else 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import _join_key, components
-from tidegrid.llm.shared import binary_parts, block_slices, cut, fragments_for, mix, pin, shingle_hashes, span_hashes, total_bytes, words
+from tidegrid.llm.shared import binary_parts, block_slices, cut, fragments_for, mix, pin, prepare, shingle_hashes, span_hashes, total_bytes, words
 
 #: Words in an n-gram; documents link when PERCENT % of their union is shared.
 WIDTH, PERCENT = 5, 80
@@ -61,6 +61,7 @@ def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for _, rows, _, sizes, ids in _text_units(batches, 1, width):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), rows.column(2)], names=["doc_id", "n_shingles", "cid", "text_hash"])
 
+    prepare(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return keyed.mapInArrow(run, "doc_id long, n_shingles long, cid long, text_hash long")
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, span_hashes, total_bytes
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, prepare, span_hashes, total_bytes
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
@@ -400,6 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     common prefixes below `length` are expanded breadth-first. Each text is segmented three times instead of
     being stored as segments; both uses of the first answers read one shuffle.
     """
+    prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
     args = length, gram, fragments

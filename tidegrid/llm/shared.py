@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegrid.session import ship
+
 #: Text bytes that a vectorised step holds at once; the work arrays are about 60 times this.
 BLOCK_BYTES = 2 << 20
 
@@ -25,6 +27,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of one Arrow batch between the JVM and a worker: rows can be of any length, so they are not counted.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before an operator with Python code: workers can import it, and batches are bounded in bytes. A limit that
+    the application was started with stays."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def few_files(df: DataFrame) -> DataFrame:
     """At most two partitions a core, merged without a shuffle: as parallel, with fewer small files."""
     return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)

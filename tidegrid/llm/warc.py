@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import few_files, rekeyed, shared_folder
+from tidegrid.llm.shared import few_files, prepare, rekeyed, shared_folder
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -163,6 +163,7 @@ def _index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Every archive under path as a sorted run of index entries, one archive after another."""
+    prepare(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     entries = files.mapInArrow(_index, "url string, date string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string")
     keyed = entries.select(
