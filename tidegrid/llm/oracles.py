@@ -58,4 +58,17 @@ SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes, {_GROUPS} AS payload
 FROM k
 """
 
-SQL: dict[str, str] = {"op4_secret_scan": _SECRETS, "op6_url_filter": _URLS, "op9_warc": _WARC}
+_JOIN = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id,
+  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sh AS (SELECT n, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM d),
+size AS (SELECT n, count(*) AS k FROM sh GROUP BY n),
+shared AS (SELECT a.n AS a, b.n AS b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.n < b.n GROUP BY 1, 2),
+half AS (SELECT a, b FROM shared JOIN size x ON x.n = a JOIN size y ON y.n = b WHERE 100 * o >= 80 * (x.k + y.k - o)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT n, n AS m FROM d UNION SELECT r.n, l.b FROM reach r JOIN links l ON l.a = r.m)
+SELECT d.doc_id, coalesce(any_value(size.k), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM d JOIN reach r ON r.n = d.n JOIN d t ON t.n = r.m LEFT JOIN size ON size.n = d.n GROUP BY d.n, d.doc_id
+"""
+
+SQL: dict[str, str] = {"op8_ngram_join": _JOIN, "op4_secret_scan": _SECRETS, "op6_url_filter": _URLS, "op9_warc": _WARC}
