@@ -99,6 +99,8 @@ def test_bootstrap_by_blocks_is_the_plain_bootstrap(spark):
         sample = np.concatenate([x[(b + np.arange(block)) % n] for b in s])[:n]
         assert r.mean_excess == pytest.approx(sample.mean(), abs=1e-14) and r.std_excess == pytest.approx(sample.std(ddof=1))
     assert A.hashed_starts(spark, n, 10).count() == 50
+    both = A.sharpe_intervals(line, A.starts_table(spark, n, resamples=20), n, ["excess"]).first()
+    assert both.low <= both.high and both.series == "excess"
     same = A.bootstrap_difference(line.withColumn("b", F.col("excess")), A.starts_table(spark, n, resamples=20), n, "excess", "b").first()
     assert same.low == same.high == 0.0
 
@@ -177,6 +179,10 @@ def test_pruning_and_fairness(spark, frame):
     f = frame.withColumn("c", F.col("a") * 2)
     corr = ML.rank_correlation(f, ["a", "b", "c"])
     assert ML.correlation_prune(corr, ["a", "b", "c"]) == [("a", None), ("b", None), ("c", "a")]
+    chosen = [{"name": n, "use": "model", "why": "x"} for n in ("a", "c")] + [{"name": "z", "use": "?", "why": ""}]
+    assert ML.check_selection(chosen, ["a", "b", "c"], corr) == ["b: not decided", "z: use '?'", "z: no reason", "a and c: correlation 1.000"]
+    twin = frame.select("date", "ticker", F.col("a").alias("score"))
+    assert {(r.overlap, round(r.ic, 9)) for r in ML.head_to_head(twin, twin, 3).collect()} == {(1.0, 1.0)}
     share = dict(ML.explained_share(f, ["a", "b", "c"]))
     assert share["c"] == pytest.approx(1.0) and share["b"] < 0.1
     assert all(r.passed for r in ML.fairness(*[frame.withColumn("fold", F.lit(0))] * 2).collect())
@@ -201,6 +207,8 @@ def test_adjustment_by_hand(spark):
 
 def test_panel_contract():
     assert len(P.COLUMNS) == 151 == len(set(P.COLUMNS)) and len(P.FEATURES) == 52 and len(P.COMPARABLE) == 46
+    reg = {r["name"]: r for r in P.registry()}
+    assert list(reg) == P.COLUMNS and reg["slope_sma_50"]["window"] == 55 and reg["mom_12_1_sec_z"]["window"] == 252 and reg["vol_63d_rank"]["direction"] == "negative" and reg["tradable"]["kind"] == "flag"
     assert math.isclose(A.familywise_level(0.95, 10), 0.995)
 
 

@@ -212,3 +212,16 @@ def random_distribution(random: DataFrame, value: str = "sharpe") -> DataFrame:
 def axis_periods(dates: Column, first: Column, last: Column) -> Column:
     """Dates a year on an axis."""
     return F.when(F.datediff(last, first) > 0, (dates - 1) / (F.datediff(last, first) / 365.25))
+
+
+def sharpe_intervals(excess: DataFrame, starts: DataFrame, n: int, names: list[str], level: float = LEVEL, periods: float = 252.0) -> DataFrame:
+    """(series, low, high, se, p_below) for named columns of excess(date, ...), over the same blocks."""
+    m = bootstrap_moments(excess, starts, n, names)
+    each = F.array(*[F.struct(F.lit(v).alias("series"), (ratio(F.col(f"mean_{v}"), F.col(f"std_{v}")) * F.sqrt(F.lit(periods))).alias("s")) for v in names])
+    tail = (1 - level) / 2
+    return m.select(F.inline(each)).groupBy("series").agg(F.percentile("s", F.lit(tail)).alias("low"), F.percentile("s", F.lit(1 - tail)).alias("high"), F.stddev_samp("s").alias("se"), F.avg((F.col("s") <= 0).cast("double")).alias("p_below"))
+
+
+def compare_with_bar(sharpe: float, bar: DataFrame) -> DataFrame:
+    """(source, bar, sharpe, beats): a strategy against the_bar()."""
+    return bar.select("source", F.col("sharpe").alias("bar"), F.lit(sharpe).alias("sharpe"), (F.lit(sharpe) > F.col("sharpe")).alias("beats"))

@@ -288,3 +288,32 @@ def explained_share(ranks: DataFrame, features: list[str]) -> list[tuple[str, fl
         fit = np.linalg.lstsq(c[np.ix_(rest, rest)], c[rest, i], rcond=None)[0]
         out.append((f, float(fit @ c[rest, i] / c[i, i]) if c[i, i] > 0 else 0.0))
     return out
+
+
+def check_selection(selection: list[dict], features: list[str], corr: DataFrame, threshold: float = 0.95) -> list[str]:
+    """What a selection (name, use: model | filter | drop, why) breaks: every column once, a reason for each, and no
+    two model columns that repeat each other."""
+    out = []
+    names = [s["name"] for s in selection]
+    out += [f"{f}: not decided" for f in features if f not in names]
+    out += [f"{n}: {names.count(n)} times" for n in dict.fromkeys(names) if names.count(n) > 1]
+    out += [f"{s['name']}: use {s.get('use')!r}" for s in selection if s.get("use") not in ("model", "filter", "drop")]
+    out += [f"{s['name']}: no reason" for s in selection if not s.get("why")]
+    used = {s["name"] for s in selection if s.get("use") == "model"}
+    out += [f"{r.a} and {r.b}: correlation {r.corr:.3f}" for r in corr.where(F.abs("corr") > threshold).orderBy("a", "b").collect() if r.a in used and r.b in used]
+    return out
+
+
+def score_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(date, ic, n): rank correlation per date of two models' scores."""
+    from tidegrid.operators.labels import information_coefficient
+
+    both = a.select("date", "ticker", F.col("score").alias("a")).join(b.select("date", "ticker", F.col("score").alias("b")), ["date", "ticker"])
+    return information_coefficient(both, "a", "b")
+
+
+def head_to_head(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """(date, overlap, ic): how alike two models' scores are on each date."""
+    from tidegrid.operators.labels import top_overlap
+
+    return top_overlap(a, b, k).join(score_correlation(a, b).select("date", "ic"), "date", "left")

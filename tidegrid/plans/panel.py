@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,38 @@ LOGGED = {"adv_eur_21"}
 TAIL_DAYS, MIN_NAMES, Z_LIMIT = 10, 10, None
 
 
+#: The sign that a feature's relation to later returns is expected to have, and sessions it looks back.
+NEGATIVE = {
+    "ret_1d", "ret_5d", "ret_21d", "logret_1d", "logret_5d", "logret_21d", "vol_21d", "vol_63d", "vol_252d", "downdev_63d", "atr_14_pct", "dist_sma_20", "dist_ema_20",
+    "death_cross", "rsi_14", "stoch_k", "stoch_d", "bb_pctb", "adv_eur_21", "beta_252", "idio_vol_252", "vol_63d_sec",
+}
+NEUTRAL = {*META, "tradable"}
+WINDOWS = {"mom_12_1": 252, "mom_6_1": 126, "rev_5d": 5, "atr_14_pct": 14, "rsi_14": 14, "macd_pct": 26, "macd_signal_pct": 34, "macd_hist_pct": 34, "stoch_k": 14, "stoch_d": 16, "bb_pctb": 20, "volume_z_63": 64, "trend_50_200": 200, "golden_cross": 200, "death_cross": 200, "tradable": 21, "mom_resid_12_1": 252}
+
+
+def window_of(name: str) -> int | None:
+    """Sessions that a column looks back, from its name where that tells."""
+    base = name.removesuffix("_rank").removesuffix("_z").removesuffix("_sec")
+    if base in META or base in WINDOWS:
+        return WINDOWS.get(base)
+    n = int(re.search(r"(\d+)d?$", base)[1])
+    return n + X.SLOPE if base.startswith("slope_") else n
+
+
+def registry() -> list[dict]:
+    """The contract: name, kind, window and direction of every column, in order."""
+    out = []
+    for c in COLUMNS:
+        base = c.removesuffix("_rank").removesuffix("_z") if c not in FEATURES else c
+        kind = "meta" if c in META else "flag" if c in FLAGS else "feature" if c in FEATURES else c.rpartition("_")[2]
+        direction = "neutral" if base in NEUTRAL else "negative" if base in NEGATIVE else "positive"
+        out.append({"name": c, "kind": kind, "window": window_of(c), "direction": direction})
+    return out
+
+
 def registry_digest() -> str:
     """16 hex digits that change with the contract."""
-    return hashlib.sha256(json.dumps(COLUMNS).encode()).hexdigest()[:16]
+    return hashlib.sha256(json.dumps(registry(), sort_keys=True).encode()).hexdigest()[:16]
 
 
 def check_registry(df: DataFrame) -> DataFrame:
