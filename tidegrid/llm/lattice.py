@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, mix, prepare, span_hashes, total_bytes, words
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, mix, prepare, span_hashes, total_bytes, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes that share one table of distinct words, and bytes of text for each fragment of the vocabulary.
@@ -342,15 +342,16 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataF
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
-    fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
+    size = total_bytes(rows, "text")
+    fragments = fragments_for(size, FRAGMENT_BYTES)
     first = spark.sparkContext.broadcast(Pieces.from_model(vocabulary))
     vocab = rows.mapInArrow(_vocabulary(fragments), VOCAB_DDL)
-    learned = vocab.groupBy("fragment").applyInArrow(_learn(first), "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used"))
+    learned = dealt(vocab, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_learn(first), "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used"))
     used = {r.piece: r.used for r in learned.collect()}  # a number for each piece of the vocabulary at most
     n_words, n_distinct, n_texts = (int(used.pop(k, 0)) for k in (-1, -2, -3))
     expected = np.zeros(len(first.value.strings))
     expected[list(used)] = list(used.values())
     pieces, end_log = first.value.learned(expected, n_texts)
     final = spark.sparkContext.broadcast(pieces)
-    sums = rows.mapInArrow(_pairs(fragments), PAIRS_DDL).groupBy("fragment").applyInArrow(_sums(final), SUMS_DDL)
-    return sums.groupBy("unit").applyInArrow(_scores(n_words + n_texts, n_distinct + (n_texts > 0), n_texts, end_log), SCORES)
+    sums = dealt(rows.mapInArrow(_pairs(fragments), PAIRS_DDL), "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_sums(final), SUMS_DDL)
+    return dealt(sums, "unit", size).groupBy("unit").applyInArrow(_scores(n_words + n_texts, n_distinct + (n_texts > 0), n_texts, end_log), SCORES)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import _join_key, components
-from tidegrid.llm.shared import binary_parts, block_slices, cut, fragments_for, mix, pin, prepare, shingle_hashes, span_hashes, total_bytes, words
+from tidegrid.llm.shared import binary_parts, block_slices, cut, dealt, fragments_for, mix, pin, prepare, shingle_hashes, span_hashes, total_bytes, words
 
 #: Words in an n-gram; documents link when PERCENT % of their union is shared.
 WIDTH, PERCENT = 5, 80
@@ -173,10 +173,11 @@ def candidate_sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """SETS_DDL: for each distinct set that may link, its shared n-grams in the global order (by how many sets
     have them, then by hash), a row for each cut of that order; `prefix` are those a link must share one of."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
+    size = total_bytes(rows, "text")
+    fragments = fragments_for(size, FRAGMENT_BYTES)
     spread = rows.mapInArrow(_spread(fragments, width), SPREAD_DDL)
-    shared = spread.groupBy("fragment").applyInArrow(_shared(fragments), SHARED_DDL)
-    return shared.groupBy("unit").applyInArrow(_survivors(percent), SETS_DDL)
+    shared = dealt(spread, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_shared(fragments), SHARED_DDL)
+    return dealt(shared, "unit", size).groupBy("unit").applyInArrow(_survivors(percent), SETS_DDL)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:

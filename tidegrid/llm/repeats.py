@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, fragments_for, prepare, span_hashes, total_bytes
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, prepare, span_hashes, total_bytes
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
@@ -176,11 +176,11 @@ def _judge(group: pa.Table) -> pa.Table:
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each unit's texts as one row, to meet the answers for it."""
+    """Each unit's texts as one compressed row, to meet the answers for it."""
     for name, rows, _, data, offsets in _units(batches):
         null = rows.column(0).is_null().to_numpy(zero_copy_only=False)
         ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-        row = {"unit": [name], "fragment": [-1], "kind": [-1], "a": [data.tobytes()], "b": [offsets.astype(np.int64).tobytes()], "c": [ids.tobytes() + null.tobytes()]}
+        row = {"unit": [name], "fragment": [-1], "kind": [-1], "a": [pa.compress(data.tobytes(), codec="zstd", asbytes=True)], "b": [offsets.astype(np.int64).tobytes()], "c": [ids.tobytes() + null.tobytes()]}
         yield pa.RecordBatch.from_pydict(row, schema=_ANSWER)
 
 
@@ -193,7 +193,9 @@ class _Met:
         if head is None:
             raise RuntimeError("answers without their texts: the documents were dealt differently the second time; store them as a table first")
         self.unit = head["unit"]
-        self.data, self.offsets = np.frombuffer(head["a"], np.uint8), np.frombuffer(head["b"], np.int64)
+        self.offsets = np.frombuffer(head["b"], np.int64)
+        data = pa.decompress(head["a"], decompressed_size=int(self.offsets[-1]), codec="zstd", asbytes=True) if self.offsets[-1] else b""
+        self.data = np.frombuffer(data, np.uint8)
         n = len(self.offsets) - 1
         self.ids, self.null = np.frombuffer(head["c"][: 8 * n], np.int64), np.frombuffer(head["c"][8 * n :], bool)
         self.segments = s = Segments(self.data, self.offsets, length, gram, fragments, contents=False)
@@ -402,11 +404,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fragments = fragments_for(total_bytes(rows, "text"), FRAGMENT_BYTES)
+    size = total_bytes(rows, "text")
+    fragments = fragments_for(size, FRAGMENT_BYTES)
     args = length, gram, fragments
     sent = rows.mapInArrow(_send(*args), "fragment int, unit long, ids binary, counts binary, h4 binary, g4 binary, g2 binary, left binary, right binary")
-    judged = sent.groupBy("fragment").applyInArrow(_judge, ANSWER_DDL)
+    judged = dealt(sent, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_judge, ANSWER_DDL)
     texts = rows.mapInArrow(_texts, ANSWER_DDL)
-    opened = texts.unionByName(judged).groupBy("unit").applyInArrow(_open(*args), "fragment int, unit long, hashes binary, numbers binary, ids binary, sizes binary, texts binary")
-    compared = opened.groupBy("fragment").applyInArrow(_compare(length), ANSWER_DDL)
-    return texts.unionByName(judged).unionByName(compared).groupBy("unit").applyInArrow(_finish(*args), RESULT)
+    opened = dealt(texts.unionByName(judged), "unit", size).groupBy("unit").applyInArrow(_open(*args), "fragment int, unit long, hashes binary, numbers binary, ids binary, sizes binary, texts binary")
+    compared = dealt(opened, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_compare(length), ANSWER_DDL)
+    return dealt(texts.unionByName(judged).unionByName(compared), "unit", size).groupBy("unit").applyInArrow(_finish(*args), RESULT)

@@ -81,6 +81,13 @@ def fragments_for(size: int, each: int = 24 << 20, least: int = 12) -> int:
     return max(least, -(-size // each))
 
 
+def dealt(df: DataFrame, key: str, size: int, each: int = 64 << 20) -> DataFrame:
+    """df dealt by a key of the library's own making, to at least as many partitions as hold `each` bytes of
+    `size`: groups cannot be split later, so their number must not hang on a session's default alone."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-size // each)), key)
+
+
 def crc_text(column: str) -> "F.Column":
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
