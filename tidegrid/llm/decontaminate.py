@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import PLACE_CODES, prepare
+from tidegrid.llm.shared import PLACE_CODES, give_back, prepare
 
 #: Characters in a q-gram, edits allowed per character, and characters in a passage that counts as a leak.
 Q, ERROR_RATE, WINDOW = 8, 0.1, 100
 #: Benchmark text that one pass holds; more items take more passes.
 PASS_BYTES = 16 << 20
 #: Characters of documents that are handled at once.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 _GAP = 0x110000
 _BASE = 0x9E3779B97F4A7C15
 HITS = "doc_id long, item_id long, start long, end long, edits int"
@@ -229,6 +229,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR
                         yield from searched(ids, texts)
                         ids, texts, size = [], [], 0
                 yield from searched(ids, texts)
+            give_back()
 
         found = docs.select(F.col(key).cast("long").alias("doc_id"), "text").mapInArrow(run, HITS)
         out = found if out is None else out.unionByName(found)
@@ -257,6 +258,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
                         keep[at + d] = False
                     at = end
                 yield batch.filter(pa.array(keep))
+            give_back()
 
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, mix, prepare, span_hashes, total_bytes, words
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, give_back, mix, prepare, span_hashes, total_bytes, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes that share one table of distinct words, and bytes of text for each fragment of the vocabulary.
@@ -179,6 +179,7 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
         for lo, hi in block_slices(offsets, UNIT_BYTES):
             yield (task << 24) + n, batch.slice(lo, hi - lo), Unit(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             n += 1
+    give_back()
 
 
 _VOCAB = pa.schema([("fragment", pa.int32()), ("spelling", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("texts", pa.int64())])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.components import _join_key, components
-from tidegrid.llm.shared import binary_parts, block_slices, cut, dealt, fragments_for, mix, pin, prepare, shingle_hashes, span_hashes, total_bytes, words
+from tidegrid.llm.shared import binary_parts, block_slices, cut, dealt, fragments_for, give_back, mix, pin, prepare, shingle_hashes, span_hashes, total_bytes, words
 
 #: Words in an n-gram; documents link when PERCENT % of their union is shared.
 WIDTH, PERCENT = 5, 80
@@ -47,11 +47,12 @@ def _text_units(batches: Iterable[pa.RecordBatch], column: int, width: int):
         data, offsets = binary_parts(batch.column(column))
         for lo, hi in block_slices(offsets, UNIT_BYTES):
             hashes, sizes, ids = [], [], []
-            for a, b in block_slices(offsets[lo : hi + 1], UNIT_BYTES // 4):
+            for a, b in block_slices(offsets[lo : hi + 1]):
                 h, s = shingle_sets(data[offsets[lo + a] : offsets[lo + b]], offsets[lo + a : lo + b + 1] - offsets[lo + a], width)
                 hashes.append(h), sizes.append(s), ids.append(set_ids(h, s))
             yield (task << 24) + n, batch.slice(lo, hi - lo), np.concatenate(hashes), np.concatenate(sizes), np.concatenate(ids)
             n += 1
+    give_back()
 
 
 def classes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -131,6 +132,8 @@ def _shared(fragments: int):
             if lo < hi:
                 own, n = np.unique(owner[lo:hi], return_counts=True)
                 out.append({"unit": group["unit"][u].as_py(), "cids": cids[own].tobytes(), "sizes": sizes[own].tobytes(), "counts": n.astype(np.uint32).tobytes(), "grams": grams[lo:hi].tobytes(), "dfs": df[lo:hi].astype(np.uint32).tobytes()})
+        del grams, owner, order, df, many
+        give_back()
         return pa.Table.from_pylist(out, schema=_SHARED)
 
     return run

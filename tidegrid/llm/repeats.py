@@ -11,11 +11,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, prepare, span_hashes, total_bytes
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, give_back, prepare, span_hashes, total_bytes
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
-UNIT_BYTES, STEP_BYTES, FRAGMENT_BYTES = 4 << 20, 1 << 20, 24 << 20
+UNIT_BYTES, STEP_BYTES, FRAGMENT_BYTES = 4 << 20, 1 << 19, 16 << 20
 #: Bytes of segments that one transform holds, where their hashes allow it.
 TRANSFORM_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
@@ -111,6 +111,7 @@ def _units(batches: Iterable[pa.RecordBatch]):
         for lo, hi in block_slices(offsets, UNIT_BYTES):
             yield (task << 24) + n, batch.slice(lo, hi - lo), ids[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
             n += 1
+    give_back()
 
 
 _SENT = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("h4", pa.binary()), ("g4", pa.binary()), ("g2", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidegrid.session import ship
 
 #: Text bytes that a vectorised step holds at once; the work arrays are about 60 times this.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -92,6 +92,16 @@ def crc_text(column: str) -> "F.Column":
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on after a task and would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # ---- text columns as bytes -------------------------------------------------------------------
 
 
