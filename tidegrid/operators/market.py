@@ -117,7 +117,7 @@ def divergence(returns: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local, eur = ratio(F.col("local"), F.first("local", ignorenulls=True).over(w)), ratio(F.col("eur"), F.first("eur", ignorenulls=True).over(w))
     fx = ratio(local, eur)
-    return returns.select("ticker", "date", local.alias("local_index"), eur.alias("eur_index"), fx.alias("fx_index"), (F.abs(eur - ratio(local, fx)) <= 1e-4).alias("holds"))
+    return returns.select("ticker", "date", local.alias("local_index"), eur.alias("eur_index"), fx.alias("fx_index"), F.coalesce(F.abs(eur - ratio(local, fx)) <= 1e-4, F.lit(False)).alias("holds"))
 
 
 # ---- overnight rates --------------------------------------------------------------------------

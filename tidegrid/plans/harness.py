@@ -41,7 +41,10 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(bars_: DataFrame, listings_: DataFrame) -> DataFrame:
-    return bars_.join(F.broadcast(listings_), "ticker").select("venue", "date").distinct()
+    """A venue's sessions: days on which four fifths of its tickers traded."""
+    size = listings_.groupBy("venue").agg(F.count("*").alias("n"))
+    days = bars_.join(F.broadcast(listings_), "ticker").groupBy("venue", "date").agg(F.count("*").alias("k"))
+    return days.join(F.broadcast(size), "venue").where("5 * k >= 4 * n").select("venue", "date")
 
 
 def fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +79,8 @@ bars AS (SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
 LISTINGS_SQL = """
 listings AS (SELECT ticker, CASE WHEN n % 5 = 2 THEN 'XLON' ELSE 'V' || (n % 5 + 1) END AS venue, (['EUR', 'USD', 'GBP', 'CHF', 'JPY'])[n % 5 + 1] AS currency, 'S' || (n % 4 + 1) AS sector
   FROM (SELECT DISTINCT p_brand AS ticker, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) AS n FROM part))"""
-SESSIONS_SQL = "sessions AS (SELECT DISTINCT venue, date FROM bars JOIN listings USING (ticker))"
+SESSIONS_SQL = """
+sessions AS (SELECT venue, date FROM (SELECT venue, date, count(*) AS k FROM bars JOIN listings USING (ticker) GROUP BY 1, 2) JOIN (SELECT venue, count(*) AS n FROM listings GROUP BY 1) USING (venue) WHERE 5 * k >= 4 * n)"""
 GRID_SQL = """
 spans AS (SELECT ticker, venue, min(date) AS lo, max(date) AS hi FROM bars JOIN listings USING (ticker) GROUP BY 1, 2),
 days AS (SELECT ticker, date FROM spans JOIN sessions USING (venue) WHERE date BETWEEN lo AND hi UNION SELECT ticker, date FROM bars),

@@ -70,11 +70,11 @@ def s9_upsert_rows(spark, sf):
     return upsert(old, new, ["ticker", "date"], ["close", "volume"])
 
 
-@query(with_(H.BARS_SQL, "n AS (SELECT ticker, date, close AS dividends, CASE WHEN CAST(volume AS BIGINT) % 50 = 0 THEN 2.0 ELSE 0.0 END AS splits FROM bars WHERE ticker = 'Brand#3')", result="SELECT ticker, date, 'dividend' AS action, dividends AS value FROM n WHERE dividends <> 0 UNION ALL SELECT ticker, date, 'split', splits FROM n WHERE splits <> 0"), "ticker date action", "value", 9)
+@query(with_(H.BARS_SQL, "n AS (SELECT ticker, date, close AS dividends, CASE WHEN CAST(volume AS BIGINT) % 50 = 0 THEN 2.0 ELSE 0.0 END AS splits FROM bars)", result="SELECT ticker, date, 'dividend' AS action, dividends AS value FROM n WHERE dividends <> 0 UNION ALL SELECT ticker, date, 'split', splits FROM n WHERE splits <> 0"), "ticker date action", "value", 9)
 def s15_actions_adapter(spark, sf):
-    b = H.bars(spark, sf).where("ticker = 'Brand#3'")
-    response = b.select(F.col("date").alias("Date"), F.col("close").alias("Dividends"), F.when(F.col("volume").cast("long") % 50 == 0, 2.0).otherwise(0.0).alias("Stock Splits"))
-    return S.to_actions("Brand#3", response)
+    b = H.bars(spark, sf)
+    response = b.select("ticker", F.col("date").alias("Date"), F.col("close").alias("Dividends"), F.when(F.col("volume").cast("long") % 50 == 0, 2.0).otherwise(0.0).alias("Stock Splits"))
+    return S.to_actions(F.col("ticker"), response)
 
 
 @query(with_(H.BARS_SQL, "m AS (SELECT ticker, max(date) AS d FROM bars GROUP BY 1)", result="SELECT ticker, greatest(DATE '1998-10-01', d - 5) AS start FROM m"), "ticker start")
@@ -143,14 +143,15 @@ def j9_session_grid(spark, sf):
 
 
 @query(
-    with_(H.BARS_SQL, "have AS (SELECT date, close FROM bars WHERE ticker = 'Brand#3')", "want AS (SELECT DISTINCT date FROM bars WHERE ticker = 'Brand#11')",
-          "u AS (SELECT coalesce(h.date, w.date) AS date, close, w.date IS NOT NULL AS g FROM have h FULL JOIN want w ON h.date = w.date)",
-          "c AS (SELECT date, g, last_value(close IGNORE NULLS) OVER (ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close FROM u)", result="SELECT date, close FROM c WHERE g"),
-    "date", "close", 9,
+    with_(*GRID, "u AS (SELECT coalesce(h.ticker, w.ticker) AS ticker, coalesce(h.date, w.date) AS date, close, w.date IS NOT NULL AS g FROM bars h FULL JOIN days w ON h.ticker = w.ticker AND h.date = w.date)",
+          "c AS (SELECT ticker, date, g, last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS close FROM u)", result="SELECT ticker, date, close FROM c WHERE g"),
+    "ticker date", "close", 9,
 )
 def j10_carry_onto(spark, sf):
-    b = H.bars(spark, sf)
-    return carry_onto(b.where("ticker = 'Brand#3'").select("date", "close"), b.where("ticker = 'Brand#11'").select("date"), "close", 5)
+    """Each ticker's closes carried onto its venue's sessions, five of them at most."""
+    b, ls = H.bars(spark, sf), H.listings(spark, sf)
+    days = session_grid(b.select("ticker", "date"), H.sessions(b, ls), ls.select("ticker", "venue")).select("ticker", "date")
+    return carry_onto(b.select("ticker", "date", "close"), days, "close", 5, ["ticker"])
 
 
 # ---- corporate actions ------------------------------------------------------------------------
@@ -218,7 +219,7 @@ def c8_refresh_close_eur(spark, sf):
     return M.refresh_close_eur(old, f, ls)
 
 
-@query(with_(H.BARS_SQL, H.LISTINGS_SQL, H.FX_SQL, *_TO_EUR, "r AS (SELECT ticker, date, close / first_value(close IGNORE NULLS) OVER w AS li, close_eur / first_value(close_eur IGNORE NULLS) OVER w AS ei FROM eur WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))", result="SELECT ticker, date, li AS local_index, ei AS eur_index, li / ei AS fx_index, abs(ei - li / (li / ei)) <= 1e-4 AS holds FROM r"), "ticker date holds", "local_index eur_index fx_index")
+@query(with_(H.BARS_SQL, H.LISTINGS_SQL, H.FX_SQL, *_TO_EUR, "r AS (SELECT ticker, date, close / first_value(close IGNORE NULLS) OVER w AS li, close_eur / first_value(close_eur IGNORE NULLS) OVER w AS ei FROM eur WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))", result="SELECT ticker, date, li AS local_index, ei AS eur_index, li / ei AS fx_index, coalesce(abs(ei - li / (li / ei)) <= 1e-4, false) AS holds FROM r"), "ticker date holds", "local_index eur_index fx_index")
 def c10_divergence(spark, sf):
     eur = M.to_eur(H.bars(spark, sf).select("ticker", "date", "close"), H.fx(spark, sf), H.listings(spark, sf))
     return M.divergence(eur.select("ticker", "date", F.col("close").alias("local"), F.col("close_eur").alias("eur")))
@@ -245,12 +246,12 @@ def c19_equal_weight(spark, sf):
 
 
 @query(
-    with_(H.BARS_SQL, "own AS (SELECT ticker, date, close FROM bars WHERE ticker IN ('Brand#3', 'Brand#11', 'Brand#25'))", "dd AS (SELECT DISTINCT date FROM own)", "lo AS (SELECT ticker, min(date) AS lo FROM own GROUP BY 1)",
+    with_(H.BARS_SQL, "own AS (SELECT ticker, date, close FROM bars)", "dd AS (SELECT DISTINCT date FROM own)", "lo AS (SELECT ticker, min(date) AS lo FROM own GROUP BY 1)",
           result="SELECT lo.ticker, dd.date, last_value(close IGNORE NULLS) OVER (PARTITION BY lo.ticker ORDER BY dd.date ROWS UNBOUNDED PRECEDING) AS close FROM lo JOIN dd ON dd.date >= lo LEFT JOIN own ON own.ticker = lo.ticker AND own.date = dd.date"),
     "ticker date", "close", 9,
 )
 def c20_union_calendar(spark, sf):
-    return M.on_union_calendar(H.bars(spark, sf).where("ticker in ('Brand#3', 'Brand#11', 'Brand#25')"), "close")
+    return M.on_union_calendar(H.bars(spark, sf), "close")
 
 
 @query(

@@ -67,15 +67,14 @@ def t7_true_range(spark, sf):
 
 @query(
     with_(*GRID, f"w AS (SELECT ticker, date, stored, count(close) OVER {over(253)} AS n, list(close) OVER {over(253)} AS ps FROM grid)",
-          "f AS (SELECT ticker, date, n, list_filter(ps, lambda x: x IS NOT NULL) AS ps FROM w WHERE stored AND n >= 228 AND date >= DATE '1998-06-01')",
+          "f AS (SELECT ticker, date, n, list_filter(ps, lambda x: x IS NOT NULL) AS ps FROM w WHERE stored AND n >= 228)",
           "u AS (SELECT ticker, date, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM f)",
           "m AS (SELECT ticker, date, p / max(p) OVER (PARTITION BY ticker, date ORDER BY i) - 1 AS d FROM u)",
           result="SELECT ticker, date, least(min(d), 0) AS mdd_252d FROM m GROUP BY 1, 2"),
     "ticker date", "mdd_252d",
 )
 def t9_drawdown_window(spark, sf):
-    """The window's worst fall; the report is of the last months, for which the whole history is read."""
-    return stored(grid(spark, sf).withColumn("mdd_252d", X.max_drawdown("close"))).where("mdd_252d is not null and date >= '1998-06-01'")
+    return stored(grid(spark, sf).withColumn("mdd_252d", X.max_drawdown("close"))).where("mdd_252d is not null")
 
 
 _SMA = "s AS (SELECT *, " + ", ".join(f"{rolled('avg(close)', 'close', n, n - 1)} AS sma_{n}" for n in X.AVERAGES) + " FROM grid)"
@@ -166,20 +165,15 @@ def t25_beta(spark, sf):
 
 
 @query(
-    with_(*GRID, f"o AS (SELECT ticker, date, close, row_number() OVER {W} AS i FROM bars)",
-          "seed AS (SELECT ticker, avg(close) AS l FROM o WHERE i <= 20 GROUP BY ticker HAVING count(*) = 20)",
-          "v AS (SELECT o.ticker, list(close ORDER BY i) AS ps, list(date ORDER BY i) AS ds, any_value(l) AS l FROM o JOIN seed USING (ticker) WHERE i > 20 GROUP BY o.ticker)",
-          "e AS (SELECT ticker, ds, ps, list_transform(range(1, len(ps) + 1), lambda k: list_reduce(list_concat([l], ps[1:k]), lambda a, x: x * 2.0 / 21 + a * 19.0 / 21)) AS es FROM (SELECT ticker, l, ps[1:250] AS ps, ds[1:250] AS ds FROM v))",
-          result="SELECT ticker, unnest(ds) AS date, unnest(es) AS ema_20 FROM e"),
-    "ticker date", "ema_20", 4,
+    with_(H.BARS_SQL, f"o AS (SELECT ticker, date, close, row_number() OVER {W} AS i FROM bars)",
+          "e AS (SELECT ticker, 20 AS i, avg(close) AS l FROM o WHERE i <= 20 GROUP BY ticker HAVING count(*) = 20 UNION ALL SELECT o.ticker, o.i, o.close * 2.0 / 21 + e.l * 19.0 / 21 FROM e JOIN o ON o.ticker = e.ticker AND o.i = e.i + 1)",
+          result="SELECT o.ticker, o.date, l AS ema_20 FROM o LEFT JOIN e ON e.ticker = o.ticker AND e.i = o.i"),
+    "ticker date", "ema_20",
 )
 def t11_ema(spark, sf):
-    """The average on each ticker's own bars, rows 21 to 270 of it: the reach of the quadratic SQL beside it."""
-    from pyspark.sql import Window
-
+    """The average on each ticker's own bars; beside it a recursive query."""
     b = H.bars(spark, sf).withColumn("tr", X.true_range("high", "low", "close"))
-    n = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
-    return recursive_columns(b, "close", "close", "tr").withColumn("n", n).where("n between 21 and 270")
+    return recursive_columns(b, "close", "close", "tr")
 
 
 @query()

@@ -86,33 +86,33 @@ def t29_rolling_sharpe(spark, sf):
     return A.rolling_sharpe(A.session_returns(curves(spark, sf)), 63)
 
 
-_N, _REPS = 400, 300
-_LINE = f"line AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, ret - 0.0001 AS a, ret * 0.5 + 0.01 AS b FROM (SELECT date, ret FROM r WHERE series = 'Brand#3' AND ret IS NOT NULL ORDER BY date LIMIT {_N}))"
-_DRAWS = f"draws AS (SELECT rep, k, (rep * 7919 + k * 104729 + 39) % {_N} AS start FROM range({_REPS}) a(rep), range(20) b(k))"
-_RESAMPLED = f"smp AS (SELECT rep, avg(a) / stddev_samp(a) * sqrt(252.0) AS sa, avg(b) / stddev_samp(b) * sqrt(252.0) AS sb FROM draws JOIN range(21) o(j) ON k * 21 + j < {_N} JOIN line ON i = (start + j) % {_N} GROUP BY rep)"
+#: The market's sessions: each day's mean return over all tickers; resampled with blocks whose starts are arithmetic,
+#: so that SQL can draw the same.
+_REPS = 500
+_LINE = "line AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, m - 0.0001 AS a, m * 0.5 + 0.01 AS b FROM (SELECT date, avg(ret) AS m FROM r WHERE ret IS NOT NULL GROUP BY date)), sz AS (SELECT count(*) AS n FROM line)"
+_DRAWS = f"draws AS (SELECT rep, k, (rep * 7919 + k * 104729 + 39) % n AS start, n FROM sz, range({_REPS}) a(rep), range((SELECT (n + 20) // 21 FROM sz)) b(k))"
+_RESAMPLED = "smp AS (SELECT rep, avg(a) / stddev_samp(a) * sqrt(252.0) AS sa, avg(b) / stddev_samp(b) * sqrt(252.0) AS sb FROM draws JOIN range(21) o(j) ON k * 21 + j < n JOIN line ON i = (start + j) % n GROUP BY rep)"
 
 
 def excess_line(spark, sf):
-    """The first sessions of one series, as long as the SQL beside it can resample."""
-    from pyspark.sql import Window
-
-    r = A.session_returns(curves(spark, sf).where("series = 'Brand#3'")).where("ret is not null")
-    n = F.row_number().over(Window.partitionBy("series").orderBy("date"))
-    line = r.withColumn("n", n).where(F.col("n") <= _N).select("date", (F.col("ret") - 0.0001).alias("a"), (F.col("ret") * 0.5 + 0.01).alias("b"))
-    ids = spark.range(_REPS).select(F.col("id").alias("replicate")).select("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("k"))
-    return line, ids.withColumn("start", (F.col("replicate") * 7919 + F.col("k") * 104729 + 39) % _N)
+    """(series of two columns, starts of blocks, length)."""
+    r = A.session_returns(curves(spark, sf)).where("ret is not null").groupBy("date").agg(F.avg("ret").alias("m"))
+    line = r.select("date", (F.col("m") - 0.0001).alias("a"), (F.col("m") * 0.5 + 0.01).alias("b"))
+    n = line.count()
+    ids = spark.range(_REPS).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n + 20) // 21 - 1).cast("long"))).alias("k"))
+    return line, ids.withColumn("start", (F.col("replicate") * 7919 + F.col("k") * 104729 + 39) % n), n
 
 
 @query(with_(H.BARS_SQL, CURVES, _LINE, _DRAWS, _RESAMPLED, result="SELECT quantile_cont(sa, 0.025) AS low, quantile_cont(sa, 0.975) AS high, stddev_samp(sa) AS se, avg(CASE WHEN sa <= 0 THEN 1.0 ELSE 0.0 END) AS p_below FROM smp"), "", "low high se p_below")
 def a10_bootstrap_sharpe(spark, sf):
-    line, starts = excess_line(spark, sf)
-    return A.bootstrap_sharpe(line, starts, _N, "a")
+    line, starts, n = excess_line(spark, sf)
+    return A.bootstrap_sharpe(line, starts, n, "a")
 
 
 @query(with_(H.BARS_SQL, CURVES, _LINE, _DRAWS, _RESAMPLED, result="SELECT quantile_cont(sa - sb, 0.025) AS low, quantile_cont(sa - sb, 0.975) AS high, stddev_samp(sa - sb) AS se, avg(CASE WHEN sa - sb <= 0 THEN 1.0 ELSE 0.0 END) AS p_below FROM smp"), "", "low high se p_below")
 def a11_bootstrap_difference(spark, sf):
-    line, starts = excess_line(spark, sf)
-    return A.bootstrap_difference(line, starts, _N, "a", "b")
+    line, starts, n = excess_line(spark, sf)
+    return A.bootstrap_difference(line, starts, n, "a", "b")
 
 
 _SHARPES = "sh AS (SELECT series, avg(ret) / stddev_samp(ret) AS sharpe FROM r GROUP BY series)"
@@ -150,7 +150,9 @@ def b2_cost_rates(spark, sf):
 
 def book(spark, sf, **options):
     p = prices(spark, sf)
-    s = B.column_scores(stored(grid(spark, sf).withColumn("s", X.skip_return("close", 252))), "s", "momentum")
+    m = stored(grid(spark, sf).withColumn("s", X.skip_return("close", 252)))
+    # a date with fewer than ten scored names has no cross-section, as in the panel
+    s = B.column_scores(m.withColumn("s", F.when(cross_rank(F.col("s")).isNotNull(), F.col("s"))), "s", "momentum")
     return B.run_backtest(p, s, **options)
 
 
@@ -245,12 +247,12 @@ def a22_coefficients(spark, sf):
 def m8_calibrated_walk_forward(spark, sf):
     folds, ends = fold_dates(spark, sf)
     f = model_frame(spark, sf).withColumn("target", F.when(F.col("target").isNotNull(), (F.col("target") > 0.8).cast("double"))).persist()
-    return ML.calibrated_walk_forward(f, folds[-1:], ends, "logit", FEATURES)
+    return ML.calibrated_walk_forward(f, folds, ends, "logit", FEATURES)
 
 
 @query()
 def m3_boosted_trees(spark, sf):
-    folds = L.fold_table(spark, fold_dates(spark, sf)[0][-1:])
+    folds = L.fold_table(spark, fold_dates(spark, sf)[0])
     return ML.walk_forward(model_frame(spark, sf), folds, "gbt", FEATURES, trees=5, depth=3)
 
 

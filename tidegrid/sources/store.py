@@ -144,13 +144,15 @@ def to_bars(ticker: str, response: DataFrame, sequence: str = "seq") -> DataFram
     return df.select(F.lit(ticker).alias("ticker"), F.to_date("date").alias("date"), *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-def to_actions(ticker: str, response: DataFrame) -> DataFrame:
-    """A provider's dividend and split columns as rows; zero cells are no event."""
+def to_actions(ticker: str | Column, response: DataFrame) -> DataFrame:
+    """A provider's dividend and split columns as rows; zero cells are no event. `ticker` is a name, or a column of
+    a response for several."""
     names = {c: c.lower().replace(" ", "_") for c in response.columns}
     df = response.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    wide = df.select(F.to_date("date").alias("date"), F.col("dividends").cast("double").alias("dividend"), F.col("stock_splits").cast("double").alias("split"))
-    long = wide.unpivot(["date"], ["dividend", "split"], "action", "value").where("value is not null and value <> 0")
-    return long.select(F.lit(ticker).alias("ticker"), "date", "action", "value")
+    own = F.lit(ticker) if isinstance(ticker, str) else ticker
+    wide = df.select(own.alias("ticker"), F.to_date("date").alias("date"), F.col("dividends").cast("double").alias("dividend"), F.col("stock_splits").cast("double").alias("split"))
+    long = wide.unpivot(["ticker", "date"], ["dividend", "split"], "action", "value")
+    return long.where("value is not null and value <> 0").select("ticker", "date", "action", "value")
 
 
 def rate_series(spark: SparkSession, series: str, lines: Iterable[str]) -> DataFrame:
