@@ -38,13 +38,13 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates of all documents that bring the domains' token totals to the targets; those at rate 0 go. A domain
-    of which nothing is left has its share spread over the others."""
-    labelled = mixing.domains_of_labels(table(spark, sf_dir, "labels")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    left = {r.domain for r in labelled.where("domain is not null").select("domain").distinct().collect()}
-    targets = {d: s for d, s in MIX_TARGETS.items() if d in left}
-    total = sum(targets.values())
-    rates = mixing.mix(docs, labelled, {d: s / total for d, s in targets.items()})
+    """Rates of all documents that bring the token totals of high and low quality to their targets; those at rate
+    0 go. Toxic documents are gone by now: their share is spread, and labels that still say so are no domain."""
+    labelled = mixing.domains_of_labels(table(spark, sf_dir, "labels")).where("domain <> 'toxic'")
+    labelled = labelled.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    share = {d: s for d, s in MIX_TARGETS.items() if d != "toxic"}
+    targets = {d: s / sum(share.values()) for d, s in share.items()}
+    rates = mixing.mix(docs, labelled, targets, missing="spread")
     return few_files(rates.where("rate > 0"))
 
 

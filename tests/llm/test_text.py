@@ -239,3 +239,11 @@ def test_mix_frame(spark):
     with pytest.raises(ValueError):
         mixing.mix(docs, lab, {"prose": 1.0})
     assert mixing.mix(docs.limit(0), lab.limit(0), {"law": 1.0}).count() == 0
+    wide = mixing.mix(docs, lab, {"law": 0.4, "code": 0.2, "verse": 0.2, "prose": 0.2}, missing="spread").toPandas()
+    assert (wide.n_tokens * wide.p_law * wide.rate).sum() / total == pytest.approx(0.5, abs=1e-6)
+
+
+def test_rare_domains_keep_their_place(spark):
+    docs = spark.createDataFrame([(i, "plain words here" if i else "odd sound") for i in range(400)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "common" if i else "rare") for i in range(400)], "doc_id long, domain string")
+    assert mixing.fit(docs, lab, rows=20).domains == ["common", "rare"]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegrid.llm.shared import cut
+from tidegrid.llm.shared import cut, pin
 
 #: Labelled rows that the classifier is fitted on at most, and hash buckets of its word features.
 LABELLED_ROWS, BUCKETS = 6000, 1 << 17
@@ -58,17 +58,21 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS, n: int = BUCKETS) -> Classifier:
-    """Classifier from labelled(doc_id, domain), a table: at most `rows` of it, chosen by a hash of doc_id.
+    """Classifier from labelled(doc_id, domain), a table: at most `rows` of it, an equal share for each domain,
+    chosen by a hash of doc_id.
 
     Three quarters of these give the counts, one quarter the sharpness. Null keys and domains and keys with
     several domains are left out; without any row all documents are of one domain, `all`.
     """
     spark = docs.sparkSession
     one = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("hi")).where("domain = hi")
-    picked = one.select("doc_id", "domain", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).collect()
-    domains = sorted({r.domain for r in picked})
+    # every domain has its part of the sample, however rare it is; how common it is comes from all labels
+    one = pin(one.select("doc_id", "domain", F.xxhash64("doc_id").alias("h")))
+    common = {r.domain: r["count"] for r in one.groupBy("domain").count().collect()}
+    domains = sorted(common)
     if not domains:
         return Classifier(["all"], [0.0], [], 0.0)
+    picked = [r for d in domains for r in one.where(F.col("domain") == d).orderBy("h", "doc_id").limit(max(1, rows // len(domains))).collect()]
     few = spark.createDataFrame([(r.doc_id, r.domain, r.h % 4 == 3) for r in picked], "doc_id long, domain string, kept boolean")
     texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("domain", "kept", buckets(F.col("text"), n).alias("b"))
     counted = texts.where("not kept").select("domain", F.explode(F.array_distinct("b")).alias("b")).groupBy("b").agg(*[F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)])
@@ -81,7 +85,7 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = LABELLED_ROWS, n: int
     for r in counted.where(off > SIGNIFICANT).collect():
         rate = (np.array([r[f"c{k}"] for k in range(len(domains))]) + 0.5) / (total + 0.5 * n)
         odds[:, r.b] = np.log(rate) - np.log(rate[0])
-    size = np.array([sum(r.domain == d for r in picked) for d in domains], float)
+    size = np.array([common[d] for d in domains], float)
     prior = np.log((size + 1) / (size + 1).sum())
     model = Classifier(domains, prior.tolist(), odds[1:].tolist(), 1.0)
     if len(domains) > 1:
@@ -157,11 +161,12 @@ def solve(members: DataFrame, names: list[str], targets: np.ndarray, rounds: int
     return start, pulls
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], budget: float = 1.0, rows: int = LABELLED_ROWS) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], budget: float = 1.0, rows: int = LABELLED_ROWS, missing: str = "error") -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate, copies) for every row of docs(doc_id, text).
 
     targets: each domain's share of the token total to reach, budget x the tokens there are; domains that the
-    labelled table does not have are an error, ones without a target have 0. Where no rates reach the targets
+    labelled table does not have are an error (missing="spread": the others take their share), ones without a target
+    have 0. Where no rates reach the targets
     the nearest totals are taken. copies: rate rounded up or down at random by a hash of doc_id and length,
     so that its mean is the rate.
 
@@ -169,9 +174,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], budg
     tokens and the prior's posteriors; repeated rows have equal rates; null keys stay; an empty table gives none.
     """
     model = fit(docs, labelled, rows)
-    if unknown := set(targets) - set(model.domains) - ({"all"} if model.domains == ["all"] else set()):
-        if model.domains != ["all"]:
+    if model.domains != ["all"] and (unknown := set(targets) - set(model.domains)):
+        kept = {d: s for d, s in targets.items() if d in model.domains}
+        if missing != "spread" or not sum(kept.values()):
             raise ValueError(f"no labelled rows of {sorted(unknown)}")
+        targets = {d: s * sum(targets.values()) / sum(kept.values()) for d, s in kept.items()}
     words = docs.select(F.col("doc_id"), buckets(F.col("text")).alias("b"))
     evidence = [f"e{i}" for i in range(1, len(model.domains))]
     seen = model.with_evidence(words).select("doc_id", F.size("b").alias("n"), *evidence)
