@@ -15,7 +15,7 @@ from tidegrid.llm.shared import binary_parts, block_slices, cut, dealt, fragment
 
 #: Words in an n-gram; documents link when PERCENT % of their union is shared.
 WIDTH, PERCENT = 5, 80
-UNIT_BYTES, FRAGMENT_BYTES = 4 << 20, 8 << 20
+UNIT_BYTES, FRAGMENT_BYTES = 4 << 20, 16 << 20
 _LOW = np.uint64(0xFFFFFFFFFFFF)
 
 
