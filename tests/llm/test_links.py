@@ -111,8 +111,37 @@ def test_repeats_match_brute_force(spark):
         rows.append((i * 3 % 53, "".join(parts)))
     rows += [(100, "a" * 200), (101, "a" * 60 + "b" + "a" * 55), (102, ""), (103, None), (104, "é" * 60), (105, "x" + "é" * 40), (106, "é" * 40)]
     df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, unit long")
-    got = sorted(map(tuple, repeats.remove_repeats(df).collect()))
-    assert got == brute_repeats([(i, (t or "").encode()) for i, t in rows])
+    want = brute_repeats([(i, (t or "").encode()) for i, t in rows])
+    # one unit a task; units of a few documents; then every place split by more bytes than its gram
+    for unit_bytes, hot in ((1 << 20, 64), (1500, 64), (1500, 0)):
+        assert sorted(map(tuple, repeats.remove_repeats(df, unit_bytes=unit_bytes, hot=hot).collect())) == want
+
+
+def test_repeats_of_a_passage_in_every_document(spark, monkeypatch):
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(i, f"{rng.random()}{passage}{rng.random()}"[rng.randrange(60) :]) for i in range(120)]
+    want = brute_repeats([(i, t.encode()) for i, t in rows])
+    monkeypatch.setattr(repeats, "TRANSFORM_BYTES", 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, repeats.remove_repeats(df, unit_bytes=2000, hot=4).collect())) == want
+
+
+def test_repeats_in_a_text_longer_than_a_unit(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(2_200_000))
+    rows = [(1, long), (2, long[700_000:1_300_000] + "x" + long[:100]), (3, long[-60:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.remove_repeats(df, unit_bytes=1 << 20).collect()}
+    assert got == {1: (0, 0), 2: (600_100, 2), 3: (60, 1)}
+
+
+def test_no_window_is_settled_without_the_transform(monkeypatch):
+    """Windows of strings of different documents repeat only where the transform says so."""
+    monkeypatch.setattr(repeats, "windows_of_smaller", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    data = np.frombuffer(b"0123456789" * 6 + b"abcdefghij" * 6, np.uint8)
+    names, low, high = repeats._runs(data, np.array([0, 60]), np.array([60, 60]), np.array([1, 2]), np.arange(2), 50)
+    assert len(names) == 0
 
 
 def test_repeats_of_null_and_equal_ids(spark):

@@ -71,4 +71,18 @@ SELECT d.doc_id, coalesce(any_value(size.k), 0) AS n_shingles, min(t.doc_id) AS
 FROM d JOIN reach r ON r.n = d.n JOIN d t ON t.n = r.m LEFT JOIN size ON size.n = d.n GROUP BY d.n, d.doc_id
 """
 
-SQL: dict[str, str] = {"op8_ngram_join": _JOIN, "op4_secret_scan": _SECRETS, "op6_url_filter": _URLS, "op9_warc": _WARC}
+_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT n, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT n, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+low AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s),
+hit AS (SELECT n, i, lag(i) OVER (PARTITION BY n ORDER BY i) AS j FROM w JOIN low USING (s) WHERE doc_id > m),
+numbered AS (SELECT n, i, sum(CASE WHEN j IS NULL OR i > j + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY n ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM hit),
+span AS (SELECT n, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY n, k),
+gap AS (SELECT n, k, a, b, coalesce(lag(b) OVER (PARTITION BY n ORDER BY a), 0) AS z FROM span),
+kept AS (SELECT n, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS parts, max(b) AS z, sum(b - a) AS removed, count(*) AS spans FROM gap JOIN d USING (n) GROUP BY n)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(parts, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept USING (n)
+"""
+
+SQL: dict[str, str] = {"op5_suffix_dedup": _REPEATS, "op8_ngram_join": _JOIN, "op4_secret_scan": _SECRETS, "op6_url_filter": _URLS, "op9_warc": _WARC}

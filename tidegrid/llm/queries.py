@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, lattice, mixing, neighbours, ngram_join, oracles, repeats, secrets, toxicity, urls, warc
-from tidegrid.llm.shared import crc_text, few_files, table
+from tidegrid.llm.shared import crc_text, table
 
 #: Host, path, verdict of the URL rules.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -18,7 +18,7 @@ MIX_TARGETS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.domains_of_labels(table(spark, sf_dir, "labels"))
-    return few_files(mixing.mix(table(spark, sf_dir, "documents"), labelled, MIX_TARGETS))
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled, MIX_TARGETS)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,19 +37,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_versions(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("found", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
     count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
-    return few_files(found).select(
+    return found.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("found")).alias("spans"),
     )
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_files(repeats.remove_repeats(table(spark, sf_dir, "documents")))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return few_files(urls.judge(table(spark, sf_dir, "pages"), rules))
+    return urls.judge(table(spark, sf_dir, "pages"), rules)
 
 
 def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,14 +57,14 @@ def op7_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return few_files(ngram_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id"))
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)) % 86_400)
     captures = table(spark, sf_dir, "pages").select("page_id", "url", captured.alias("captured"), "html")
     merged = warc.archive_and_merge(captures, smallest=0)
-    return few_files(merged).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
 
 
 def op10_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,16 +11,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, give_back, prepare, span_hashes, total_bytes
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, cut, dealt, fragments_for, give_back, mix, prepare, total_bytes
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
 UNIT_BYTES, STEP_BYTES, FRAGMENT_BYTES = 4 << 20, 1 << 19, 16 << 20
-#: Bytes of segments that one transform holds, where their hashes allow it.
+#: Bytes of strings that one transform holds, where their places allow it.
 TRANSFORM_BYTES = 1 << 19
+#: A gram that more units than this have is hot: its windows are placed by more bytes than the gram's.
+HOT_UNITS = 64
+#: Bits of a place in a part that is segmented at once; hashes are compared without that many.
+PLACE_BITS = np.uint64(20)
 _BASE = 0x9E3779B97F4A7C15
 _LAST = np.int64(2**63 - 1)  # the place of a null doc_id: after all others
-KEEP, DROP, OPEN = 0, 1, 2
+ALONE, MET, HOT = 0, 1, 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -49,184 +53,275 @@ def window_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, contents: bool = True):
-    """Every window of `length` bytes inside a text belongs to the gram with the smallest hash in it, the
-    leftmost of such; consecutive windows of one gram are a segment. Equal windows have equal grams, so they
-    lie in segments of one hash. A window has half of what it holds besides the gram on the gram's left, or
-    half on its right; `left` and `right` are a byte of those halves' hashes (0: no window reaches there).
-    Returns (text number, first window, last window, hash, content hash, left, right)."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint8), none.astype(np.uint8)
-    hashes = gram_hashes(data, gram)
-    place = np.arange(len(hashes), dtype=np.uint64)
-    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
-    low = window_minimum((hashes >> bits << bits) | place, length - gram + 1)
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    sizes = np.diff(offsets)
-    n = np.maximum(sizes - length + 1, 0)
-    valid = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    text = np.repeat(np.arange(len(sizes)), n)
-    at = anchor[valid]
-    new = np.ones(len(valid), bool)
-    new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    starts = np.flatnonzero(new)
-    ends = np.r_[starts[1:], len(valid)] - 1 if len(starts) else starts
-    first, last = valid[starts], valid[ends]
-    half, spot, sides = (length - gram) // 2, at[starts], []
-    if not contents:
-        return text[starts], first, last, hashes[spot], hashes[:0], *[np.zeros(0, np.uint8)] * 2
-    for reached, begin, end in ((first <= spot - half, spot - half, spot), (last >= spot - half, spot + gram, spot + length - half)):
-        begin, end = np.where(reached, begin, 0), np.where(reached, end, 0)
-        sides.append(np.where(reached, 1 + span_hashes(data, begin, end) % np.uint64(255), np.uint64(0)).astype(np.uint8))
-    return text[starts], first, last, hashes[spot], span_hashes(data, first, last + length), *sides
+def _pieces(offsets: np.ndarray, length: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first text, offsets) of parts to segment at once; a longer text comes in parts of `most` windows,
+    which overlap so that each of its windows lies in one part."""
+    for lo, hi in block_slices(offsets, most):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        if hi - lo == 1 and end - begin > most + length:
+            for at in range(begin, end - length + 1, most):
+                yield lo, np.array([at, min(at + most + length - 1, end)], np.int64)
+        else:
+            yield lo, offsets[lo : hi + 1]
 
 
 class Segments:
-    """The segments of a unit's texts, in order of fragment, and their places; with their contents' hashes if asked."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, fragments: int, contents: bool = True):
-        parts = []
-        for lo, hi in block_slices(offsets, STEP_BYTES):
-            text, first, last, *rest = segments(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length, gram, contents)
-            parts.append((text + lo, first + offsets[lo], last + offsets[lo], *rest))
-        text, first, last, h, g, left, right = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else segments(data, offsets, length, gram)
-        home = (h % np.uint64(fragments)).astype(np.int64)
+    """The windows of `length` bytes inside a unit's texts, in runs that have one minimiser.
+
+    A window belongs to the gram with the smallest hash in it, the leftmost of such. Equal windows have equal
+    grams at equal places, so they lie in segments of one hash. `text`, `first`, `last` (windows), `spot` (of
+    the gram) and `hash` are in order of fragment (hash modulo fragments), `bounds` has the fragments' ends.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int, fragments: int):
+        parts = [self._of(data, lo, part, length, gram) for lo, part in _pieces(offsets, length, STEP_BYTES)]
+        text, first, last, spot, hashes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else self._of(data, 0, offsets[:1], length, gram)
+        home = (hashes % np.uint64(fragments)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        self.text, self.first, self.last, self.hash, self.content = text[order], first[order], last[order], h[order] // np.uint64(fragments), g
-        self.left, self.right = left, right
-        if contents:
-            self.content, self.left, self.right = g[order], left[order], right[order]
+        self.text, self.first, self.last, self.spot = text[order], first[order], last[order], spot[order]
+        self.hash = hashes[order]
         self.bounds = np.searchsorted(home[order], np.arange(fragments + 1))
 
+    @staticmethod
+    def _of(data, lo, offsets, length, gram):
+        base = int(offsets[0]) if len(offsets) else 0
+        data = data[base : int(offsets[-1])] if len(offsets) else data[:0]
+        if len(data) < length:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, none.astype(np.uint64)
+        offsets = offsets - base
+        hashes = gram_hashes(data, gram)
+        place = np.arange(len(hashes), dtype=np.uint64)
+        low = window_minimum((hashes >> PLACE_BITS << PLACE_BITS) | place, length - gram + 1)
+        anchor = (low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
+        sizes = np.diff(offsets)
+        n = np.maximum(sizes - length + 1, 0)
+        valid = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        text = np.repeat(np.arange(len(sizes)), n)
+        at = anchor[valid]
+        new = np.ones(len(valid), bool)
+        new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(valid)] - 1 if len(starts) else starts
+        spot = at[starts]
+        return text[starts] + lo, valid[starts] + base, valid[ends] + base, spot + base, hashes[spot]
 
-def _units(batches: Iterable[pa.RecordBatch]):
-    """(number, ids, data, offsets) of consecutive rows (doc_id, text) of up to UNIT_BYTES."""
-    task, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).fill_null(int(_LAST)).to_numpy(zero_copy_only=False)
-        data, offsets = binary_parts(batch.column(1))
-        for lo, hi in block_slices(offsets, UNIT_BYTES):
-            yield (task << 24) + n, batch.slice(lo, hi - lo), ids[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-            n += 1
-    give_back()
 
+# ---- units ------------------------------------------------------------------------------------
 
-_SENT = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("h4", pa.binary()), ("g4", pa.binary()), ("g2", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
-_ANSWER = pa.schema([("unit", pa.int64()), ("fragment", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-ANSWER_DDL = "unit long, fragment int, kind int, a binary, b binary, c binary"
-_OPENED = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary())])
+_UNIT = pa.schema([("unit", pa.int64()), ("fragment", pa.int32()), ("texts", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary())])
+UNIT_DDL = "unit long, fragment int, texts binary, sizes binary, ids binary, marks binary"
+_TOLD = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("places", pa.binary()), ("twice", pa.binary())])
+TOLD_DDL = "fragment int, unit long, places binary, twice binary"
+_SENT = pa.schema([("fragment", pa.int32()), ("unit", pa.int64()), ("places", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("strings", pa.binary())])
+SENT_DDL = "fragment int, unit long, places binary, ids binary, sizes binary, strings binary"
+_FOUND = pa.schema([("unit", pa.int64()), ("fragment", pa.int32()), ("string", pa.binary()), ("begin", pa.binary()), ("end", pa.binary())])
+FOUND_DDL = "unit long, fragment int, string binary, begin binary, end binary"
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _send(length: int, gram: int, fragments: int):
+def _packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(x: bytes, size: int, kind) -> np.ndarray:
+    """`size` numbers of a kind from _packed()."""
+    n = size * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) if n else b"", kind)
+
+
+def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(schema.names, values, strict=True)}, schema=schema)
+
+
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_pydict({k: list(c) for k, c in zip(schema.names, zip(*rows, strict=True), strict=True)} if rows else {k: [] for k in schema.names}, schema=schema)
+
+
+def _pack(unit_bytes: int):
+    """Consecutive rows (doc_id, text) of up to unit_bytes as one row, with a number no other unit has."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, _, ids, data, offsets in _units(batches):
-            s = Segments(data, offsets, length, gram, fragments)
-            for f in range(fragments):
-                lo, hi = s.bounds[f], s.bounds[f + 1]
-                if lo == hi:
-                    continue
-                texts, counts = np.unique(s.text[lo:hi], return_counts=True)
-                h, g = s.hash[lo:hi], s.content[lo:hi]
-                row = (f, name, ids[texts].tobytes(), counts.astype(np.uint32).tobytes(), h.astype(np.uint32).tobytes(), g.astype(np.uint32).tobytes(), (g >> np.uint64(32)).astype(np.uint16).tobytes(), s.left[lo:hi].tobytes(), s.right[lo:hi].tobytes())
-                yield pa.RecordBatch.from_pydict({k: [v] for k, v in zip(_SENT.names, row, strict=True)}, schema=_SENT)
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, offsets = binary_parts(batch.column(1))
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(int(_LAST)).to_numpy(zero_copy_only=False)
+            for lo, hi in block_slices(offsets, unit_bytes):
+                yield _row(_UNIT, (n << 32) + task, -1, _packed(data[offsets[lo] : offsets[hi]]), np.diff(offsets[lo : hi + 1]).tobytes(), ids[lo:hi].tobytes() + null[lo:hi].tobytes(), None)
+                n += 1
+        give_back()
 
     return run
 
 
-def _column(group: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in group[name].to_pylist()])
+class Unit:
+    """A unit's texts and their segments."""
+
+    def __init__(self, texts: bytes, sizes: bytes, ids: bytes, length: int, gram: int, fragments: int):
+        self.sizes = np.frombuffer(sizes, np.int64)
+        self.offsets = np.r_[0, np.cumsum(self.sizes)]
+        self.data = _unpacked(texts, int(self.offsets[-1]), np.uint8)
+        n = len(self.sizes)
+        self.ids, self.null = np.frombuffer(ids[: 8 * n], np.int64), np.frombuffer(ids[8 * n :], bool)
+        self.length, self.gram, self.fragments = length, gram, fragments
+        self.segments = Segments(self.data, self.offsets, length, gram, fragments)
+
+        s = self.segments
+        # 32 bits of a hash are left beside its fragment; where two fall together, more is compared
+        self.home = np.repeat(np.arange(fragments), np.diff(s.bounds))
+        key = self.home.astype(np.uint64) << np.uint64(32) | place_of(s.hash, fragments).astype(np.uint64)
+        self.keys, self.number = np.unique(key, return_inverse=True)
+        self.key_bounds = np.searchsorted((self.keys >> np.uint64(32)).astype(np.int64), np.arange(fragments + 1))
+
+    def strings(self, marks: dict[int, bytes]) -> "Strings":
+        """What is compared: the segments whose place others have. Under a hot gram a window goes by the gram
+        and the half of its other bytes that lie on the left of it, or else those on the right."""
+        s, half = self.segments, (self.length - self.gram) // 2
+        status = np.frombuffer(b"".join(marks[f] for f in sorted(marks)), np.uint8)
+        if len(status) != len(self.keys):
+            raise RuntimeError("marks do not fit the unit: a table in the shared folder was changed")
+        status = status[self.number]
+        met, hot = np.flatnonzero(status == MET), np.flatnonzero(status == HOT)
+        text, first, last, place = [s.text[met]], [s.first[met]], [s.last[met]], [s.hash[met]]
+        if len(hot):
+            border = s.spot[hot] - half  # windows up to here have `half` bytes on the gram's left
+            left = s.first[hot], np.minimum(s.last[hot], border), border
+            right = np.maximum(s.first[hot], border + 1), s.last[hot], s.spot[hot]
+            for side, (lo, hi, at) in enumerate((left, right), 1):
+                some = lo <= hi
+                text.append(s.text[hot][some]), first.append(lo[some]), last.append(hi[some])
+                place.append(hash_at(self.data, at[some], self.gram + half, side))
+        return Strings(self, *(np.concatenate(x) for x in (text, first, last, place)))
+
+
+def place_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
+    return (hashes // np.uint64(fragments)).astype(np.uint32)
+
+
+def hash_at(data: np.ndarray, at: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """A hash of the `size` bytes from each place."""
+    out = np.full(len(at), seed, np.uint64)
+    for k in range(size):
+        out = out * np.uint64(_BASE) + BYTE_CODES[data[at + k]]
+    return mix(out)
+
+
+class Strings:
+    """A unit's strings to compare; those equal byte for byte are held once, under the smallest id that has
+    them. `begin`, `size`, `place` and `ids` of the kinds are in order of fragment, `bounds` has the fragments'
+    ends; holder_... has every string, its kind and id."""
+
+    def __init__(self, unit: Unit, text: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray):
+        self.holder_ids, self.holder_begin, size = unit.ids[text], first, last - first + unit.length
+        one, kind = distinct_strings(unit.data, first, size)
+        home = (hashes[one] % np.uint64(unit.fragments)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        rank = np.empty(len(one), np.int64)
+        rank[order] = np.arange(len(one))
+        one, self.holder_kind = one[order], rank[kind]
+        self.bounds = np.searchsorted(home[order], np.arange(unit.fragments + 1))
+        self.begin, self.size, self.place = first[one], size[one], place_of(hashes[one], unit.fragments)
+        self.ids = np.full(len(one), _LAST)
+        np.minimum.at(self.ids, self.holder_kind, self.holder_ids)
 
 
-def _judge(group: pa.Table) -> pa.Table:
-    """Of the segments of one fragment: DROP where a smaller document has the same segment; OPEN for the
-    smallest document of a segment if another one has the same hash and left or right side; KEEP for the rest.
-    Hashes lose their upper bits here, which can only open more."""
-    group = group.sort_by("unit")
-    doc = np.repeat(_column(group, "ids", np.int64), _column(group, "counts", np.uint32).astype(np.int64))
-    h = _column(group, "h4", np.uint32).astype(np.uint64)
-    g = _column(group, "g4", np.uint32).astype(np.uint64) | _column(group, "g2", np.uint16).astype(np.uint64) << np.uint64(32)
-    out = np.zeros(len(h), np.uint8)
-    order = np.argsort(h)
-    hs = h[order]
-    run = np.cumsum(np.r_[True, hs[1:] != hs[:-1]]) - 1
-    several = np.bincount(run)[run] > 1
-    order, run = order[several], run[several]
-    if len(order):
-        by = np.lexsort((g[order], run))
-        order, run = order[by], run[by]
-        gs = g[order]
-        new = np.r_[True, (run[1:] != run[:-1]) | (gs[1:] != gs[:-1])]
-        starts = np.flatnonzero(new)
-        smallest = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(order)]))
-        kind = np.cumsum(new) - 1
-        open_ = np.zeros(len(order), bool)
-        for side in ("left", "right"):
-            byte = _column(group, side, np.uint8)[order].astype(np.int64)
-            key = run * 256 + byte
-            pairs, first = np.unique(key * np.int64(len(starts) + 1) + kind, return_index=True)
-            keys, n = np.unique(key[first], return_counts=True)
-            open_ |= (byte > 0) & (n[np.searchsorted(keys, key)] > 1)
-        out[order] = np.where(doc[order] > smallest, DROP, np.where(open_, OPEN, KEEP))
-    sizes = [len(x) // 4 for x in group["h4"].to_pylist()]
-    parts = np.split(out, np.cumsum(sizes)[:-1])
-    n = group.num_rows
-    return pa.Table.from_pydict({"unit": group["unit"].to_pylist(), "fragment": group["fragment"].to_pylist(), "kind": [0] * n, "a": [p.tobytes() for p in parts], "b": [None] * n, "c": [None] * n}, schema=_ANSWER)
-
-
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each unit's texts as one compressed row, to meet the answers for it."""
-    for name, rows, _, data, offsets in _units(batches):
-        null = rows.column(0).is_null().to_numpy(zero_copy_only=False)
-        ids = rows.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-        row = {"unit": [name], "fragment": [-1], "kind": [-1], "a": [pa.compress(data.tobytes(), codec="zstd", asbytes=True)], "b": [offsets.astype(np.int64).tobytes()], "c": [ids.tobytes() + null.tobytes()]}
-        yield pa.RecordBatch.from_pydict(row, schema=_ANSWER)
-
-
-class _Met:
-    """A unit's texts with the answers for it."""
-
-    def __init__(self, group: pa.Table, length: int, gram: int, fragments: int):
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of spans, laid end to end."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def distinct_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one of each kind of equal byte strings, the kind of each string), compared byte by byte."""
+    if not len(begin):
+        return begin, begin
+    rows = np.zeros((len(begin), (int(size.max()) + 4 + 7) // 8 * 8), np.uint8)
+    row = np.repeat(np.arange(len(begin)), size)
+    rows[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 4] = data[spread(begin, size)]
+    rows[:, :4] = size.astype("<u4").view(np.uint8).reshape(-1, 4)
+    rows = rows.view(np.uint64)
+    key = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        key = (key ^ rows[:, k]) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    order = np.argsort(key, kind="stable")  # the key brings equal ones together, the bytes decide
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    kind = np.empty(len(rows), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
+# ---- steps ------------------------------------------------------------------------------------
+
+
+def _slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Consecutive parts of an array as the bytes of a binary column."""
+    offsets = (bounds * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _tell(length: int, gram: int, fragments: int):
+    """The places that a unit's segments have, and which of them several of its documents have."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                unit = Unit(row["texts"], row["sizes"], row["ids"], length, gram, fragments)
+                ids = unit.ids[unit.segments.text]
+                low, high = np.full(len(unit.keys), _LAST), np.full(len(unit.keys), -_LAST)
+                np.minimum.at(low, unit.number, ids)
+                np.maximum.at(high, unit.number, ids)
+                some = np.flatnonzero(np.diff(unit.key_bounds))
+                bounds = np.r_[unit.key_bounds[some], len(unit.keys)]
+                columns = pa.array(some, pa.int32()), pa.array(np.full(len(some), row["unit"]), pa.int64()), _slices(unit.keys.astype(np.uint32), bounds), _slices(low < high, bounds)
+                yield pa.RecordBatch.from_arrays(list(columns), schema=_TOLD)
+        give_back()
+
+    return run
+
+
+def _mark(hot: int):
+    """For each unit and place of one fragment: ALONE if no other document has the place, else MET or HOT."""
+
+    def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        head = next((r for r in rows if r["kind"] == -1), None)
-        if head is None:
-            raise RuntimeError("answers without their texts: the documents were dealt differently the second time; store them as a table first")
-        self.unit = head["unit"]
-        self.offsets = np.frombuffer(head["b"], np.int64)
-        data = pa.decompress(head["a"], decompressed_size=int(self.offsets[-1]), codec="zstd", asbytes=True) if self.offsets[-1] else b""
-        self.data = np.frombuffer(data, np.uint8)
-        n = len(self.offsets) - 1
-        self.ids, self.null = np.frombuffer(head["c"][: 8 * n], np.int64), np.frombuffer(head["c"][8 * n :], bool)
-        self.segments = s = Segments(self.data, self.offsets, length, gram, fragments, contents=False)
-        self.status = np.full(len(s.text), 255, np.uint8)
-        for r in rows:
-            if r["kind"] == 0:
-                lo, hi = s.bounds[r["fragment"]], s.bounds[r["fragment"] + 1]
-                if hi - lo != len(r["a"]):
-                    raise RuntimeError("the documents were dealt differently the second time; store them as a table first")
-                self.status[lo:hi] = np.frombuffer(r["a"], np.uint8)
-        if (self.status == 255).any():
-            raise RuntimeError("a unit lacks answers; store the documents as a table first")
-        self.extra = [r for r in rows if r["kind"] == 1]
-
-
-def _open(length: int, gram: int, fragments: int):
-    """The texts of a unit's open segments, dealt to their fragments."""
+        places = [np.frombuffer(r["places"], np.uint32) for r in rows]
+        every = np.concatenate(places)
+        twice = np.concatenate([np.frombuffer(r["twice"], np.uint8) for r in rows])
+        order = np.argsort(every)
+        run_of = np.cumsum(np.r_[True, np.diff(every[order]) != 0]) - 1
+        units = np.bincount(run_of)
+        shared = (units > 1) | (np.bincount(run_of, twice[order]) > 0)
+        mark = np.empty(len(every), np.uint8)
+        mark[order] = np.where(units > hot, HOT, np.where(shared, MET, ALONE))[run_of]
+        parts = np.split(mark, np.cumsum([len(p) for p in places])[:-1])
+        return _table(_UNIT, [(r["unit"], r["fragment"], None, None, None, m.tobytes()) for r, m in zip(rows, parts, strict=True)])
+
+    return run
+
+
+def _met(group: pa.Table, length: int, gram: int, fragments: int) -> tuple[int, Unit, Strings]:
+    """A unit from its texts and the marks for it."""
+    rows = group.to_pylist()
+    head = next(r for r in rows if r["fragment"] == -1)
+    unit = Unit(head["texts"], head["sizes"], head["ids"], length, gram, fragments)
+    return head["unit"], unit, unit.strings({r["fragment"]: r["marks"] for r in rows if r["fragment"] >= 0})
+
+
+def _send(length: int, gram: int, fragments: int):
+    """A unit's strings, dealt to their fragments."""
 
     def run(group: pa.Table) -> pa.Table:
-        met = _Met(group, length, gram, fragments)
-        s, out = met.segments, []
-        ids = np.where(met.null, _LAST, met.ids)
-        for f in range(fragments):
-            which = s.bounds[f] + np.flatnonzero(met.status[s.bounds[f] : s.bounds[f + 1]] == OPEN)
-            if len(which):
-                size = s.last[which] + length - s.first[which]
-                at = np.repeat(s.first[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                row = (f, met.unit, (s.hash[which] & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), which.astype(np.uint32).tobytes(), ids[s.text[which]].tobytes(), size.astype(np.uint16).tobytes(), met.data[at].tobytes())
-                out.append(dict(zip(_OPENED.names, row, strict=True)))
-        return pa.Table.from_pylist(out, schema=_OPENED)
+        name, unit, s = _met(group, length, gram, fragments)
+        data, rows = unit.data[spread(s.begin, s.size)], []
+        ends = np.r_[0, np.cumsum(s.size)]
+        for f in np.flatnonzero(np.diff(s.bounds)).tolist():
+            lo, hi = s.bounds[f], s.bounds[f + 1]
+            rows.append((f, name, s.place[lo:hi].tobytes(), _packed(s.ids[lo:hi]), s.size[lo:hi].astype(np.uint16).tobytes(), _packed(data[ends[lo] : ends[hi]])))
+        return _table(_SENT, rows)
 
     return run
 
@@ -318,99 +413,130 @@ def repeat_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengt
 
 
 def windows_of_smaller(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of the windows that also start in a string with a smaller id."""
+    """(string, offset) of the windows that also start in a string with a smaller id, in order."""
     order, block = repeat_blocks(data, starts, sizes, length)
     string = np.repeat(np.arange(len(sizes)), sizes + 1)
     within = np.arange(len(string)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
     full = (sizes[string] - within)[order] >= length
     doc = np.where(full, ids[string[order]], _LAST)
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    hit = order[full & (doc > np.minimum.reduceat(doc, first)[block])]
+    hit = np.sort(order[full & (doc > np.minimum.reduceat(doc, first)[block])])
     return string[hit], within[hit]
 
 
+def _column(group: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in group[name].to_pylist()])
+
+
 def _compare(length: int):
-    """Of one fragment: the windows of open segments that also start in a smaller document."""
+    """Of one fragment: the windows of each unit's strings that also start in a smaller document, as runs."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("unit")
-        ids, sizes = _column(group, "ids", np.int64), _column(group, "sizes", np.uint16).astype(np.int64)
-        data, begin = _column(group, "texts", np.uint8), np.cumsum(sizes) - sizes
-        parts = -(-int(sizes.sum()) // TRANSFORM_BYTES)  # equal strings have one hash, so they stay together
-        part = _column(group, "hashes", np.uint16).astype(np.int64) * parts >> 16
-        by = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[by], np.arange(parts + 1))
-        found = []
-        for p in range(parts):
-            which = by[bounds[p] : bounds[p + 1]]
-            if len(which):
-                string, offset = windows_of_smaller(data, begin[which], sizes[which], ids[which], length)
-                found.append((which[string], offset))
-        segment, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(segment, kind="stable")
-        segment, offset = segment[order], offset[order]
-        per_row = np.array([len(x) // 2 for x in group["sizes"].to_pylist()])
-        row_of = np.repeat(np.arange(group.num_rows), per_row)[segment] if len(segment) else segment
-        numbers = _column(group, "numbers", np.uint32)
-        out = []
-        for r in np.unique(row_of).tolist():
-            mine = row_of == r
-            out.append({"unit": group["unit"][r].as_py(), "fragment": 0, "kind": 1, "a": numbers[segment[mine]].tobytes(), "b": offset[mine].astype(np.uint16).tobytes(), "c": None})
-        return pa.Table.from_pylist(out, schema=_ANSWER)
+        rows = group.to_pylist()
+        sizes, places = _column(group, "sizes", np.uint16).astype(np.int64), _column(group, "places", np.uint32)
+        count = np.array([len(r["places"]) // 4 for r in rows])
+        row_of = np.repeat(np.arange(len(rows)), count)
+        total = np.bincount(row_of, sizes, len(rows)).astype(np.int64)
+        ids = np.concatenate([_unpacked(r["ids"], n, np.int64) for r, n in zip(rows, count.tolist(), strict=True)])
+        data = np.concatenate([_unpacked(r["strings"], n, np.uint8) for r, n in zip(rows, total.tolist(), strict=True)])
+        begin = np.cumsum(sizes) - sizes
+        # equal windows have one place, so they stay together; a place is a part of its own if it must
+        order = np.argsort(places, kind="stable")
+        held = np.cumsum(sizes[order])
+        opens = np.r_[True, np.diff(places[order]) != 0]
+        before = np.r_[0, held[:-1]][opens]  # bytes before each place
+        parts = np.split(order, np.flatnonzero(opens)[np.r_[False, np.diff(before // TRANSFORM_BYTES) > 0]])
+        found = [_runs(data, begin[p], sizes[p], ids[p], p, length) for p in parts]
+        string, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(string, kind="stable")
+        string, low, high = string[by], low[by], high[by]
+        bounds = np.searchsorted(row_of[string], np.arange(len(rows) + 1))
+        first, out = np.cumsum(count) - count, []
+        for i, r in enumerate(rows):
+            mine = slice(bounds[i], bounds[i + 1])
+            if bounds[i] < bounds[i + 1]:
+                out.append((r["unit"], r["fragment"], (string[mine] - first[i]).astype(np.uint32).tobytes(), low[mine].astype(np.uint16).tobytes(), high[mine].astype(np.uint16).tobytes()))
+        del data, rows
+        give_back()
+        return _table(_FOUND, out)
 
     return run
 
 
+def _runs(data, begin, sizes, ids, names, length) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first window, last window) of runs of repeated windows. Equal strings of several units go into
+    the transform once, under their smallest id; a larger id under which one is held repeats all its windows."""
+    one, kind = distinct_strings(data, begin, sizes)
+    low = np.full(len(one), _LAST)
+    np.minimum.at(low, kind, ids)
+    string, offset = windows_of_smaller(data, begin[one], sizes[one], low, length)
+    new = np.r_[True, (np.diff(string) != 0) | (np.diff(offset) != 1)][: len(string)]
+    at = np.flatnonzero(new)
+    string, first, last = string[at], offset[at], offset[np.r_[at[1:], len(offset)] - 1] if len(at) else at
+    smallest = ids == low[kind]
+    later = np.flatnonzero(~smallest)
+    # runs of each kind, for every holder of it that has the smallest id
+    holders = np.flatnonzero(smallest)
+    lo, n = np.searchsorted(string, kind[holders]), np.bincount(string, minlength=len(one))[kind[holders]]
+    pick = spread(lo, n)
+    return np.r_[names[later], names[np.repeat(holders, n)]], np.r_[np.zeros(len(later), np.int64), first[pick]], np.r_[sizes[later] - length, last[pick]]
+
+
 def _finish(length: int, gram: int, fragments: int):
-    def run(group: pa.Table) -> pa.Table:
-        met = _Met(group, length, gram, fragments)
-        s, size = met.segments, len(met.data)
-        gone = np.flatnonzero(met.status == DROP)
-        edge = np.zeros(size + 1, np.int32)
-        np.add.at(edge, s.first[gone], 1)
-        np.add.at(edge, s.last[gone] + length, -1)
-        for r in met.extra:
-            at = s.first[np.frombuffer(r["a"], np.uint32)] + np.frombuffer(r["b"], np.uint16)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
+    """A unit's documents without the bytes that the runs found for its strings cover."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, unit, s = _met(left, length, gram, fragments)
+        # under a larger id than the smallest one in this unit, all of a string's windows repeat
+        later = s.holder_ids > s.ids[s.holder_kind]
+        opens, closes = [s.holder_begin[later]], [(s.holder_begin + s.size[s.holder_kind])[later]]
+        answers = sorted(right.to_pylist(), key=lambda r: r["fragment"])
+        if answers:
+            string = np.concatenate([np.frombuffer(r["string"], np.uint32).astype(np.int64) + s.bounds[r["fragment"]] for r in answers])
+            low, high = (np.concatenate([np.frombuffer(r[x], np.uint16).astype(np.int64) for r in answers]) for x in ("begin", "end"))
+            at = np.searchsorted(string, s.holder_kind)
+            n = np.searchsorted(string, s.holder_kind, "right") - at
+            pick, begin = spread(at, n), np.repeat(s.holder_begin, n)
+            opens.append(begin + low[pick])
+            closes.append(begin + high[pick] + length)
+        size = len(unit.data)
+        edge = np.bincount(np.concatenate(opens), minlength=size + 1) - np.bincount(np.concatenate(closes), minlength=size + 1)
         removed = np.cumsum(edge[:-1]) > 0
-        out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
         total = np.r_[0, np.cumsum(removed)]
-        for i, (lo, hi) in enumerate(zip(met.offsets[:-1].tolist(), met.offsets[1:].tolist(), strict=True)):
-            n = int(total[hi] - total[lo])
-            part = removed[lo:hi]
-            out["doc_id"].append(None if met.null[i] else int(met.ids[i]))
-            out["n_bytes"].append(hi - lo)
-            out["n_removed"].append(n)
-            out["n_spans"].append(int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()) if n else 0)
-            out["kept_sha256"].append(hashlib.sha256((met.data[lo:hi][~part] if n else met.data[lo:hi]).tobytes()).hexdigest())
-        return pa.Table.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+        out = []
+        for i, (lo, hi) in enumerate(zip(unit.offsets[:-1].tolist(), unit.offsets[1:].tolist(), strict=True)):
+            n, part = int(total[hi] - total[lo]), removed[lo:hi]
+            spans = int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()) if n else 0
+            kept = (unit.data[lo:hi][~part] if n else unit.data[lo:hi]).tobytes()
+            out.append((None if unit.null[i] else int(unit.ids[i]), hi - lo, n, spans, hashlib.sha256(kept).hexdigest()))
+        return _table(_RESULT, out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit_bytes: int = UNIT_BYTES, hot: int = HOT_UNITS) -> DataFrame:
     """RESULT, one row per row of docs(doc_id, text): each byte goes that is covered by a string of `length`
     bytes that also starts in a document with a smaller doc_id, judged on the input.
 
-    Texts are UTF-8 bytes (null: empty); strings never cross documents; documents with equal ids never
-    remove from each other; a null id counts as larger than all others. Other columns are ignored. docs
-    must read the same rows in the same order each time, as a stored table does; else this fails loudly.
+    Texts are UTF-8 bytes (null: empty) of any length; strings never cross documents; documents with equal ids
+    (repeated rows) never remove from each other; a null id counts as larger than all others. An empty table
+    gives none. Other columns are ignored.
 
-    Equal strings share their minimiser, so they meet in one hash fragment; fragments grow in number with
-    the text. Segments that a smaller document has whole are settled by their hashes. What is left open
-    (different segments round one gram) goes to a Burrows-Wheeler transform for each fragment, on which the
-    common prefixes below `length` are expanded breadth-first. Each text is segmented three times instead of
-    being stored as segments; both uses of the first answers read one shuffle.
+    Texts are stored once, packed into units of up to unit_bytes (a longer text is one). Hashes only place
+    what may be equal: equal windows have one minimiser, so its hash names the fragment where they meet, and
+    segments whose place no other document has stay out. Places that more than `hot` units have are split by
+    the bytes beside the gram. All that meets is decided on a Burrows-Wheeler transform of the strings, whose
+    common prefixes below `length` are expanded breadth-first; strings equal byte for byte are held once in a
+    unit and once in a transform, for all documents that have them.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = total_bytes(rows, "text")
     fragments = fragments_for(size, FRAGMENT_BYTES)
     args = length, gram, fragments
-    sent = rows.mapInArrow(_send(*args), "fragment int, unit long, ids binary, counts binary, h4 binary, g4 binary, g2 binary, left binary, right binary")
-    judged = dealt(sent, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_judge, ANSWER_DDL)
-    texts = rows.mapInArrow(_texts, ANSWER_DDL)
-    opened = dealt(texts.unionByName(judged), "unit", size).groupBy("unit").applyInArrow(_open(*args), "fragment int, unit long, hashes binary, numbers binary, ids binary, sizes binary, texts binary")
-    compared = dealt(opened, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_compare(length), ANSWER_DDL)
-    return dealt(texts.unionByName(judged).unionByName(compared), "unit", size).groupBy("unit").applyInArrow(_finish(*args), RESULT)
+    units = cut(rows.mapInArrow(_pack(unit_bytes), UNIT_DDL), "none")  # texts are compressed
+    told = dealt(units.mapInArrow(_tell(*args), TOLD_DDL), "fragment", size, FRAGMENT_BYTES)
+    marked = dealt(units.unionByName(told.groupBy("fragment").applyInArrow(_mark(hot), UNIT_DDL)), "unit", size)
+    sent = dealt(marked.groupBy("unit").applyInArrow(_send(*args), SENT_DDL), "fragment", size, FRAGMENT_BYTES)
+    found = dealt(sent.groupBy("fragment").applyInArrow(_compare(length), FOUND_DDL), "unit", size)
+    return marked.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(_finish(*args), RESULT)

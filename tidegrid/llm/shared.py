@@ -40,17 +40,12 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """At most two partitions a core, merged without a shuffle: as parallel, with fewer small files."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-
-
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as a table in the shared folder and read it back: later steps never recompute what
-    led to it, and a lost executor takes nothing with it."""
+    led to it, and a lost executor takes nothing with it. A file for each task that computes a part."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidegrid/{uuid.uuid4().hex}"
-    few_files(df).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +54,7 @@ def pin(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return few_files(df).checkpoint()
+    return df.checkpoint()
 
 
 def rekeyed(df: DataFrame, key: str) -> DataFrame:
@@ -82,10 +77,12 @@ def fragments_for(size: int, each: int = 24 << 20, least: int = 12) -> int:
 
 
 def dealt(df: DataFrame, key: str, size: int, each: int = 64 << 20) -> DataFrame:
-    """df dealt by a key of the library's own making, to at least as many partitions as hold `each` bytes of
-    `size`: groups cannot be split later, so their number must not hang on a session's default alone."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-size // each)), key)
+    """df dealt by a number of the library's own making, to at least as many partitions as hold `each` bytes of
+    `size`: groups cannot be split later, so their number must not hang on a session's default alone. An int is
+    a fragment's number: taken modulo the partitions, so that fragments lie apart; a long is hashed."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+    whole = df.schema[key].dataType.simpleString() == "int"
+    return df.repartitionById(n, F.col(key)) if whole else df.repartition(n, key)
 
 
 def crc_text(column: str) -> "F.Column":

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import few_files, prepare, rekeyed, shared_folder
+from tidegrid.llm.shared import prepare, rekeyed, shared_folder
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -80,7 +80,7 @@ def write_archives(captures: DataFrame, path: str, smallest: int = 0, records_pe
     The commit protocol of Spark's writer applies: a lost executor's files never show up. Nulls: html is
     an empty payload, url is about:blank, page_id has no number. Equal ids with equal payloads are all responses.
     """
-    rows = few_files(records(with_roles(captures, smallest)))
+    rows = records(with_roles(captures, smallest))
     rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
