@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, mixing, ngram_join, secrets, toxicity
 from tidegrid.llm.queries import MIX_TARGETS
-from tidegrid.llm.shared import crc_text, cut, few_files, table
+from tidegrid.llm.shared import crc_text, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram similarity links."""
-    return few_files(ngram_join.one_of_each(docs))
+    return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, secrets in their texts replaced by a mark."""
     found, _ = secrets.scan_versions(docs)
     n_chars = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return few_files(secrets.redact(found).withColumn("n_chars", n_chars).select(*docs.columns))
+    return secrets.redact(found).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     share = {d: s for d, s in MIX_TARGETS.items() if d != "toxic"}
     targets = {d: s / sum(share.values()) for d, s in share.items()}
     rates = mixing.mix(docs, labelled, targets, missing="spread")
-    return few_files(rates.where("rate > 0"))
+    return rates.where("rate > 0")
 
 
 STAGES = [
