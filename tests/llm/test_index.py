@@ -163,3 +163,54 @@ def test_unusable_vectors_ties_and_few_candidates(spark):
     got = neighbours.search(df, F.col("id") % 20 == 0, k=5).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
+
+
+def brute_neighbours(ids, x, q, k):
+    s = x @ x[q]
+    order = np.lexsort((ids, -s))
+    return [(int(ids[i]), float(s[i])) for i in order if ids[i] != ids[q]][:k]
+
+
+@pytest.mark.parametrize("spread", [0.0, 6.0])
+def test_recall_in_a_block_of_ten_thousand(spark, spread):
+    """Vectors without any structure, and in clusters; the same rows whatever the batches are."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(10_000, 64)) + spread * rng.normal(size=(40, 64))[rng.integers(0, 40, 10_000)]
+    ids = rng.permutation(10_000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    key, found = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    for batch in ("10000", "700"):
+        spark.conf.set(key, batch)
+        got = neighbours.search(df, F.col("id") % 500 == 0, k=20).collect()
+        found.append(sorted((r.query_id, r.rank, r.vec_id) for r in got))
+    spark.conf.unset(key)
+    assert found[0] == found[1]
+    want = {(int(ids[q]), v) for q in np.flatnonzero(ids % 500 == 0) for v, _ in brute_neighbours(ids, x, q, 20)}
+    assert len(found[0]) == 400 and len(want & {(q, v) for q, _, v in found[0]}) >= 0.9 * 400
+
+
+def test_clusters_need_less_than_noise():
+    rng = np.random.default_rng(8)
+    noise = rng.normal(size=(3000, 32))
+    clusters = 0.2 * noise + 6.0 * rng.normal(size=(30, 32))[rng.integers(0, 30, 3000)]
+    cost = {}
+    for name, x in (("noise", noise), ("clusters", clusters)):
+        points = x[:64] / np.linalg.norm(x[:64], axis=1, keepdims=True)
+        probes, share = neighbours.tuned(x[64:], points, 32, 20, 0.95)
+        cost[name] = probes * share
+    assert cost["clusters"] < cost["noise"] / 3
+
+
+def test_repeated_keys_several_blocks_and_parts(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 8))
+    x[40:140] = x[40]  # a hot vector
+    ids = np.arange(300) % 250
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    df = df.unionByName(df.where("vec_id = 20"))  # a query row twice
+    got = neighbours.search(df, F.col("id") % 20 == 0, k=6, pivots=16, nearest=8, recall=1.01, block_rows=20, query_rows=7).collect()
+    want = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        both = brute_neighbours(np.r_[ids, 20], np.r_[x, x[20:21]], q, 6)
+        want += [(int(ids[q]), r + 1, v, round(s, 9)) for r, (v, s) in enumerate(both)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
