@@ -61,6 +61,42 @@ def test_components_match_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("unit_bytes", [600, 1 << 22])
+def test_one_n_gram_in_every_set(spark, monkeypatch, unit_bytes):
+    """Short documents round one common line, in groups of near copies, several units and fragments."""
+    monkeypatch.setattr(ngram_join, "UNIT_BYTES", unit_bytes)
+    monkeypatch.setattr(ngram_join, "fragments_for", lambda size, each: 7)
+    rng = random.Random(11)
+    line = "all rights reserved by the authors of this page".split()
+    rows = []
+    for i in range(150):
+        g = i % 12
+        own = [f"g{g}w{k}" for k in range(3 + 2 * g)]
+        if rng.random() < 0.4:
+            own[rng.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join([*own, *line])))
+    rows.append((500, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.link_components(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows))
+
+
+def test_length_classes_hold_all_pairs_that_may_link(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1, 400).select(F.col("id").alias("n"), ngram_join._length_class("n", 80).alias("c")).collect()
+    c = {r.n: r.c for r in df}
+    assert all(abs(c[a] - c[b]) <= 1 for a in c for b in c if 100 * a >= 80 * b and a <= b)
+
+
+def test_a_very_long_text_links(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[500:])), (3, " ".join(words[:60_000]))]
+    got = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_join_on_empty_table_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert ngram_join.link_components(spark.createDataFrame([], schema)).count() == 0
@@ -71,9 +107,10 @@ def test_join_on_empty_table_and_repeated_rows(spark):
 
 def test_one_of_each_keeps_columns_and_blank_documents(spark):
     rows = [(3, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (5, ""), (6, None), (9, "h i j k l m")]
-    df = spark.createDataFrame([(d, t, f"s{d}") for d, t in rows], "doc_id long, text string, source string")
+    clash = ["i", "none", "h", "nth", "whole", "a.b", "k1"]
+    df = spark.createDataFrame([(d, t, *(f"s{d}" for _ in clash)) for d, t in rows], ["doc_id", "text", *clash])
     got = ngram_join.one_of_each(df)
-    assert got.columns == ["doc_id", "text", "source"]
+    assert got.columns == ["doc_id", "text", *clash] and {r.h for r in got.collect()} == {"s2", "s5", "s6", "s9"}
     assert sorted(r.doc_id for r in got.collect()) == [2, 5, 6, 9]
 
 

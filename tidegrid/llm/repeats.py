@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, cut, dealt, fragments_for, give_back, mix, prepare, total_bytes
+from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, cut, dealt, fragments_for, give_back, mix, packed, prepare, slices, total_bytes, unpacked
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
@@ -120,16 +120,6 @@ FOUND_DDL = "unit long, fragment int, string binary, begin binary, end binary"
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(x: bytes, size: int, kind) -> np.ndarray:
-    """`size` numbers of a kind from _packed()."""
-    n = size * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) if n else b"", kind)
-
-
 def _row(schema: pa.Schema, *values) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(schema.names, values, strict=True)}, schema=schema)
 
@@ -150,7 +140,7 @@ def _pack(unit_bytes: int):
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(int(_LAST)).to_numpy(zero_copy_only=False)
             for lo, hi in block_slices(offsets, unit_bytes):
-                yield _row(_UNIT, (n << 32) + task, -1, _packed(data[offsets[lo] : offsets[hi]]), np.diff(offsets[lo : hi + 1]).tobytes(), ids[lo:hi].tobytes() + null[lo:hi].tobytes(), None)
+                yield _row(_UNIT, (n << 32) + task, -1, packed(data[offsets[lo] : offsets[hi]]), np.diff(offsets[lo : hi + 1]).tobytes(), ids[lo:hi].tobytes() + null[lo:hi].tobytes(), None)
                 n += 1
         give_back()
 
@@ -163,7 +153,7 @@ class Unit:
     def __init__(self, texts: bytes, sizes: bytes, ids: bytes, length: int, gram: int, fragments: int):
         self.sizes = np.frombuffer(sizes, np.int64)
         self.offsets = np.r_[0, np.cumsum(self.sizes)]
-        self.data = _unpacked(texts, int(self.offsets[-1]), np.uint8)
+        self.data = unpacked(texts, int(self.offsets[-1]), np.uint8)
         n = len(self.sizes)
         self.ids, self.null = np.frombuffer(ids[: 8 * n], np.int64), np.frombuffer(ids[8 * n :], bool)
         self.length, self.gram, self.fragments = length, gram, fragments
@@ -257,12 +247,6 @@ def distinct_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> t
 # ---- steps ------------------------------------------------------------------------------------
 
 
-def _slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Consecutive parts of an array as the bytes of a binary column."""
-    offsets = (bounds * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def _tell(length: int, gram: int, fragments: int):
     """The places that a unit's segments have, and which of them several of its documents have."""
 
@@ -276,7 +260,7 @@ def _tell(length: int, gram: int, fragments: int):
                 np.maximum.at(high, unit.number, ids)
                 some = np.flatnonzero(np.diff(unit.key_bounds))
                 bounds = np.r_[unit.key_bounds[some], len(unit.keys)]
-                columns = pa.array(some, pa.int32()), pa.array(np.full(len(some), row["unit"]), pa.int64()), _slices(unit.keys.astype(np.uint32), bounds), _slices(low < high, bounds)
+                columns = pa.array(some, pa.int32()), pa.array(np.full(len(some), row["unit"]), pa.int64()), slices(unit.keys.astype(np.uint32), bounds), slices(low < high, bounds)
                 yield pa.RecordBatch.from_arrays(list(columns), schema=_TOLD)
         give_back()
 
@@ -320,7 +304,7 @@ def _send(length: int, gram: int, fragments: int):
         ends = np.r_[0, np.cumsum(s.size)]
         for f in np.flatnonzero(np.diff(s.bounds)).tolist():
             lo, hi = s.bounds[f], s.bounds[f + 1]
-            rows.append((f, name, s.place[lo:hi].tobytes(), _packed(s.ids[lo:hi]), s.size[lo:hi].astype(np.uint16).tobytes(), _packed(data[ends[lo] : ends[hi]])))
+            rows.append((f, name, s.place[lo:hi].tobytes(), packed(s.ids[lo:hi]), s.size[lo:hi].astype(np.uint16).tobytes(), packed(data[ends[lo] : ends[hi]])))
         return _table(_SENT, rows)
 
     return run
@@ -437,8 +421,8 @@ def _compare(length: int):
         count = np.array([len(r["places"]) // 4 for r in rows])
         row_of = np.repeat(np.arange(len(rows)), count)
         total = np.bincount(row_of, sizes, len(rows)).astype(np.int64)
-        ids = np.concatenate([_unpacked(r["ids"], n, np.int64) for r, n in zip(rows, count.tolist(), strict=True)])
-        data = np.concatenate([_unpacked(r["strings"], n, np.uint8) for r, n in zip(rows, total.tolist(), strict=True)])
+        ids = np.concatenate([unpacked(r["ids"], n, np.int64) for r, n in zip(rows, count.tolist(), strict=True)])
+        data = np.concatenate([unpacked(r["strings"], n, np.uint8) for r, n in zip(rows, total.tolist(), strict=True)])
         begin = np.cumsum(sizes) - sizes
         # equal windows have one place, so they stay together; a place is a part of its own if it must
         order = np.argsort(places, kind="stable")

@@ -99,6 +99,22 @@ def give_back() -> None:
         trim(0)
 
 
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes, size: int, kind) -> np.ndarray:
+    """`size` numbers of a kind from packed()."""
+    n = size * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(x, decompressed_size=n, codec="zstd", asbytes=True) if n else b"", kind)
+
+
+def slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Consecutive parts of an array as the bytes of a binary column."""
+    offsets = (np.asarray(bounds) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 # ---- text columns as bytes -------------------------------------------------------------------
 
 
