@@ -50,15 +50,118 @@ def test_simulation_steps(spark):
     assert trades.cost_eur.to_numpy(float) == pytest.approx(trades.value_eur.to_numpy(float) * rate)
 
 
-def test_reweight_and_frozen_names():
-    book = B._Book(0.0, 3)
-    book.shares[:] = [10, 0, 1]
-    marks = np.array([10.0, 10.0, 10.0])
-    nan = np.nan
-    out = B.orders(book, np.array([1.0, 2.0, nan]), np.array([True] * 3), marks, np.zeros(3), 2, False)
-    assert [(s, int(j)) for s, j, _ in out] == [("sell", 0), ("buy", 1)]  # the unscored name keeps its place
-    even = B.orders(book, np.array([1.0, 1.0, 1.0]), np.array([True] * 3), marks, np.zeros(3), 3, True)
-    assert [(s, int(j), round(x, 6)) for s, j, x in even] == [("sell", 0, round((100 - 110 / 3) / 10, 6)), ("buy", 1, round(110 / 3, 6)), ("buy", 2, round(110 / 3 - 10, 6))]
+def plain_book(rows, scores, k, hold, rate_of, reweight, fill, start=None, end=None):
+    """The portfolio rules name by name, with dicts: rows are {(date, ticker): (close, open, adv)}."""
+    axis = sorted({d for d, _ in rows if d >= (start or min(d for d, _ in scores)) and (end is None or d <= end)})
+    names = sorted({t for _, t in rows})
+    last, adv = {}, {}
+    for d, t in sorted(rows):  # what is known before the axis
+        if d < axis[0]:
+            last.update({t: rows[d, t][0]} if rows[d, t][0] is not None else {})
+            adv.update({t: rows[d, t][2]} if rows[d, t][2] is not None else {})
+    cash, held, waiting, equity, trades = B.CAPITAL, {}, [], [], []
+
+    def do(day, side, t, amount, price, rate, decided):
+        nonlocal cash
+        if side == "sell":
+            shares = min(amount, held[t])
+            held[t] -= shares
+            if amount >= shares and held[t] <= 0:
+                del held[t]
+            cash += shares * price * (1 - rate)
+        else:
+            shares = amount / (price * (1 + rate))
+            held[t] = held.get(t, 0.0) + shares
+            cash -= amount
+        trades.append((day, t, side, shares, price, shares * price * rate, decided))
+
+    for i, d in enumerate(axis):
+        for t in names:
+            close, _, a = rows.get((d, t), (None, None, None))
+            if close is not None:
+                last[t] = close
+            if a is not None:
+                adv[t] = a
+        for side in ("sell", "buy"):
+            for o in [o for o in waiting if o[0] == side and rows.get((d, o[1]), (None, None, None))[1] is not None]:
+                waiting.remove(o)
+                do(d, *o[:3], rows[d, o[1]][1], o[3], o[4])
+        if i % hold == 0:
+            unscored = {t for t in held if (d, t) not in scores}
+            able = [t for t in names if (d, t) in scores and (rows.get((d, t), (None,))[0] is not None or (t in held and t in last))]
+            keep = unscored | set(sorted(able, key=lambda t: (-scores[d, t], t))[: max(0, k - len(unscored))])
+            orders, part = [], (cash + sum(n * last[t] for t, n in held.items())) / max(1, len(keep))
+            for t, n in held.items():
+                if t not in keep:
+                    orders.append(("sell", t, n))
+                elif reweight and n * last[t] > part:
+                    orders.append(("sell", t, (n * last[t] - part) / last[t]))
+            money = cash + sum(n * last[t] * (1 - rate_of(adv.get(t))) for _, t, n in orders)
+            if reweight:
+                want = {t: part - held.get(t, 0.0) * last.get(t, 0.0) for t in keep if part > held.get(t, 0.0) * last.get(t, 0.0)}
+            else:
+                want = {t: 1.0 for t in keep if t not in held}
+            if want and money > 0:
+                share = money / sum(want.values())
+                orders += [("buy", t, w * (min(1.0, share) if reweight else share)) for t, w in want.items()]
+            orders = [(s, t, x, rate_of(adv.get(t)), d) for s, t, x in orders]
+            if fill == "close":
+                for s, t, x, r, _ in sorted(orders, key=lambda o: o[0] != "sell"):
+                    do(d, s, t, x, last[t], r, d)
+            else:
+                waiting = orders
+        cash = 0.0 if abs(cash) < 1e-9 * B.CAPITAL else cash
+        equity.append((d, cash + sum(n * last[t] for t, n in held.items()), cash, len(held)))
+    return equity, trades
+
+
+@pytest.mark.parametrize("fill", ["open", "close"])
+@pytest.mark.parametrize("reweight", [False, True])
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_books_match_the_rules_name_by_name(spark, monkeypatch, fill, reweight, few):
+    """With missing closes, opens, values and scores, and ties; prices broadcast, then dealt to the books."""
+    monkeypatch.setattr(B, "BROADCAST_ROWS", few)
+    rng = np.random.default_rng(4)
+    rows, scores = {}, {}
+    for j in range(9):
+        p = 50 * np.exp(np.cumsum(rng.normal(0, 0.03, 70)))
+        for d, x in zip(days(70), p, strict=True):
+            if rng.random() < 0.85:
+                rows[d, f"N{j}"] = (float(x) if rng.random() < 0.95 else None, float(x * 1.01) if rng.random() < 0.8 else None, float(rng.choice([1e6, 3e7, 1e9])) if rng.random() < 0.6 else None)
+            if rng.random() < 0.7 and d >= days(70)[6]:
+                scores[d, f"N{j}"] = float(rng.integers(0, 5))
+    frame = spark.createDataFrame([(t, d, *x) for (d, t), x in rows.items()], "ticker string, date date, adj_close_eur double, adj_open_eur double, adv_eur_21 double")
+    scored = spark.createDataFrame([(n, d, t, x) for n in ("m", "other") for (d, t), x in scores.items()], "scenario string, date date, ticker string, score double")
+    rate = lambda a: float(B.CostModel().rates(np.array([np.nan if a is None else a]))[0])
+    for start, end in ((None, None), (days(70)[10], days(70)[55])):
+        want, traded = plain_book(rows, scores, 3, 5, rate, reweight, fill, start, end)
+        got = B.run_backtest(frame, scored, k=3, hold=5, reweight=reweight, fill=fill, start=start, end=end).where("scenario = 'm'").persist()
+        mine = sorted((r.date, r.equity_eur, r.cash_eur, r.n_names) for r in B.equity_of(got).collect())
+        assert [x[0] for x in mine] == [x[0] for x in want] and [x[3] for x in mine] == [x[3] for x in want]
+        assert np.array([x[1:3] for x in mine]) == pytest.approx(np.array([x[1:3] for x in want]), rel=1e-9, abs=1e-6)
+        fills = sorted((r.date, r.ticker, r.side, r.shares, r.price_eur, r.cost_eur, r.decided) for r in B.trades_of(got).collect())
+        traded = sorted(x for x in traded if x[3] > 0)
+        assert [(*x[:3], x[6]) for x in fills] == [(*x[:3], x[6]) for x in traded]
+        assert np.array([x[3:6] for x in fills]) == pytest.approx(np.array([x[3:6] for x in traded]), rel=1e-8)
+
+
+def test_baselines_share_one_axis(spark):
+    p = prices(spark, 60)
+    bench = p.where("ticker = 'N0'").withColumn("ticker", F.lit("BENCH"))
+    momentum = p.where(F.col("date") >= days(60)[30]).select("ticker", "date", F.col("adj_close_eur").alias("mom_12_1"))
+    rules = dict(k=2, hold=7, start=days(60)[20], end=days(60)[50])
+    e = B.equity_of(B.baselines(p, bench, momentum, seeds=3, **rules)).toPandas()
+    assert set(e.scenario) == {"benchmark", "equal_weight_hold", "equal_weight_rebalanced", "momentum", "random_0", "random_1", "random_2"}
+    assert e.groupby("scenario").date.agg(list).map(tuple).nunique() == 1 and len(e) == 7 * 31
+    with pytest.raises(ValueError):
+        B.baselines(p, p.where("ticker = 'N0'"), momentum, seeds=1, **rules)
+
+
+def test_rules_that_cannot_be_raise(spark):
+    p = prices(spark, 5)
+    for bad in ({"k": 0}, {"hold": 0}, {"capital": 0.0}, {"fill": "noon"}):
+        with pytest.raises(ValueError):
+            B.run_backtest(p, B.constant_scores(p), **bad)
 
 
 def test_costs(spark):

@@ -26,7 +26,7 @@ def query(sql: str | None = None, keys: str = "", values: str = "", digits: int
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         _QUERIES[f.__name__] = run
         if sql is not None:
-            columns = ", ".join([*ks, *[f"round(CAST({v} AS DOUBLE), {digits}) AS {v}" for v in vs]]) or "*"
+            columns = ", ".join([*ks, *[f"round(CAST({v} AS DOUBLE), {digits}) + 0.0 AS {v}" for v in vs]]) or "*"
             body, _, last = sql.rpartition("\nRESULT ")
             _SQL[f.__name__] = f"WITH RECURSIVE {body}, result AS ({last})\nSELECT {columns} FROM result" if body else f"SELECT {columns} FROM ({last})"
         return run

@@ -13,10 +13,11 @@ from tidegrid.operators import metrics as A
 from tidegrid.operators import models as ML
 from tidegrid.operators import portfolio as B
 from tidegrid.operators.frames import cross_rank
+from tidegrid.plans import book_sql as S
 from tidegrid.plans import harness as H
 from tidegrid.plans import panel as P
 from tidegrid.plans.catalog import query, with_
-from tidegrid.plans.queries_features import GRID, _SCORED, grid, scored, stored
+from tidegrid.plans.queries_features import GRID, _SCORED, grid, lagged, scored, stored
 from tidegrid.streaming.ingest import event_bars
 
 #: An equity curve for each ticker: its closes; excess over a fixed rate.
@@ -148,36 +149,94 @@ def b2_cost_rates(spark, sf):
     return prices(spark, sf).withColumn("rate", B.CostModel().rate_column(F.col("adv_eur_21")))
 
 
-def book(spark, sf, **options):
-    p = prices(spark, sf)
-    m = stored(grid(spark, sf).withColumn("s", X.skip_return("close", 252)))
+def momentum_scores(spark, sf):
+    m = stored(grid(spark, sf).withColumn("mom_12_1", X.skip_return("close", 252)))
     # a date with fewer than ten scored names has no cross-section, as in the panel
-    s = B.column_scores(m.withColumn("s", F.when(cross_rank(F.col("s")).isNotNull(), F.col("s"))), "s", "momentum")
-    return B.run_backtest(p, s, **options)
+    return B.column_scores(m.withColumn("mom_12_1", F.when(cross_rank(F.col("mom_12_1")).isNotNull(), F.col("mom_12_1"))), "mom_12_1", "momentum")
 
 
-@query()
+def book(spark, sf, **options):
+    return B.run_backtest(prices(spark, sf), momentum_scores(spark, sf), **options)
+
+
+_PX = "px AS (SELECT ticker, date, close AS c, open AS o, adv FROM bars JOIN adv USING (ticker, date))"
+_MOMENTUM = (
+    f"mo AS (SELECT * FROM (SELECT ticker, date, stored, {lagged('close', 21)} / {lagged('close', 252)} - 1 AS m FROM grid) WHERE stored)",
+    "mk AS (SELECT date, ticker, m FROM (SELECT *, count(m) OVER (PARTITION BY date) AS n FROM mo) WHERE m IS NOT NULL AND n >= 10)",
+)
+_ONE_BOOK = "books AS (SELECT 'momentum' AS scenario, {k} AS k, {even} AS even, NULL::DOUBLE AS flat, {first}::DATE AS first, {last}::DATE AS last)"
+_SC = "sc AS (SELECT 'momentum' AS scenario, date, ticker, m AS score FROM mk)"
+
+
+def _book_sql(result: str, k: int = 10, even: str = "false", first: str = "NULL", last: str = "NULL") -> str:
+    return with_(*GRID, _ADV, _PX, *_MOMENTUM, _ONE_BOOK.format(k=k, even=even, first=first, last=last), _SC, S.SETTING, result=result)
+
+
+@query(_book_sql(S.EQUITY), "scenario date n_names rebalance", "equity_eur cash_eur cost_eur", 3)
 def b1_backtest_equity(spark, sf):
-    return B.equity_of(book(spark, sf))
+    return B.equity_of(book(spark, sf, kinds=("equity",)))
 
 
-@query()
+@query(_book_sql(S.TRADES), "scenario date ticker side decided", "shares price_eur value_eur cost_eur", 3)
 def b1_backtest_trades(spark, sf):
-    return B.trades_of(book(spark, sf))
+    return B.trades_of(book(spark, sf, kinds=("trade",)))
 
 
-@query()
-def b5_baseline_books(spark, sf):
+@query(_book_sql("SELECT *, ln(shares) AS log_shares FROM (" + S.POSITIONS + ")"), "scenario date ticker", "log_shares price_eur weight", 7)
+def b1_backtest_positions(spark, sf):
+    return B.positions_of(book(spark, sf, kinds=("position",))).withColumn("log_shares", F.ln("shares"))
+
+
+@query(_book_sql(S.TRADES, 5, "true", "DATE '1993-06-01'", "DATE '1997-06-30'"), "scenario date ticker side decided", "shares price_eur value_eur cost_eur", 3)
+def b1_backtest_reweighted(spark, sf):
+    """Five names brought back to equal weights, between two dates."""
+    return B.trades_of(book(spark, sf, kinds=("trade",), k=5, reweight=True, start=dt.date(1993, 6, 1), end=dt.date(1997, 6, 30)))
+
+
+_SWEEP = (0, 5, 10, 25, 50)
+#: Books whose worth runs over many powers of ten are compared by its logarithm, cash and costs as parts of it.
+_PARTS = "SELECT scenario, date, n_names, rebalance, ln(equity_eur) AS log_equity, cash_eur / equity_eur AS cash_part, cost_eur / equity_eur AS cost_part FROM (" + S.EQUITY + ")"
+
+
+def parts(equity):
+    e = F.col("equity_eur")
+    return equity.select("scenario", "date", "n_names", "rebalance", F.ln(e).alias("log_equity"), (F.col("cash_eur") / e).alias("cash_part"), (F.col("cost_eur") / e).alias("cost_part"))
+
+
+#: Axis of the baselines: from the first date that has a year of history behind it to the newest bar.
+FIRST, LAST, SEEDS = dt.date(1993, 2, 1), dt.date(2100, 1, 1), 200
+
+
+def baseline_books(spark, sf):
     p = prices(spark, sf)
-    m = stored(grid(spark, sf).withColumn("mom_12_1", X.skip_return("close", 252)))
-    return B.equity_of(B.baselines(p, m, seeds=20))
+    mean = H.bars(spark, sf).groupBy("date").agg(*[(F.sum(F.round(F.col(c) * 10000).cast("decimal(38,0)")).cast("double") / F.count("*") / 10000).alias(n) for c, n in (("close", "adj_close_eur"), ("open", "adj_open_eur"))])
+    bench = mean.select(F.lit("BENCH").alias("ticker"), "date", "adj_close_eur", "adj_open_eur", F.lit(None).cast("double").alias("adv_eur_21"))
+    return B.baselines(p, bench, momentum_scores(spark, sf).withColumnRenamed("score", "mom_12_1"), FIRST, LAST, SEEDS, kinds=("equity",))
+
+
+_BASELINES = (
+    "be AS (SELECT date, CAST(sum(CAST(round(close * 10000) AS DECIMAL(38,0))) AS DOUBLE) / count(*) / 10000 AS c, CAST(sum(CAST(round(open * 10000) AS DECIMAL(38,0))) AS DOUBLE) / count(*) / 10000 AS o FROM bars GROUP BY date)",
+    "px AS (SELECT ticker, date, close AS c, open AS o, adv FROM bars JOIN adv USING (ticker, date) UNION ALL SELECT 'BENCH', date, c, o, NULL FROM be)",
+    f"books AS (SELECT scenario, k, even, NULL::DOUBLE AS flat, DATE '{FIRST}' AS first, DATE '{LAST}' AS last FROM (SELECT 'benchmark' AS scenario, 1 AS k, false AS even UNION ALL SELECT 'momentum', 10, false UNION ALL SELECT 'equal_weight_hold', (SELECT count(DISTINCT ticker) FROM bars), false"
+    f" UNION ALL SELECT 'equal_weight_rebalanced', (SELECT count(DISTINCT ticker) FROM bars), true UNION ALL SELECT 'random_' || s, 10, false FROM range({SEEDS}) r(s)))",
+    "sc AS (SELECT 'benchmark' AS scenario, date, 'BENCH' AS ticker, 1.0::DOUBLE AS score FROM be UNION ALL SELECT 'momentum', date, ticker, m FROM mk UNION ALL SELECT e, date, ticker, 1.0 FROM bars, (VALUES ('equal_weight_hold'), ('equal_weight_rebalanced')) v(e)"
+    f" UNION ALL SELECT 'random_' || s, date, ticker, CAST('0x' || substr(md5(s || ':' || ticker || ':' || date), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 FROM bars, range({SEEDS}) r(s))",
+)
 
 
-@query()
+@query(with_(*GRID, _ADV, *_MOMENTUM, *_BASELINES, S.SETTING, result=_PARTS), "scenario date n_names rebalance", "log_equity cash_part cost_part")
+def b5_baseline_books(spark, sf):
+    return parts(B.equity_of(baseline_books(spark, sf)))
+
+
+@query(
+    with_(*GRID, _ADV, _PX, f"mk AS (SELECT * FROM (SELECT ticker, date, stored, close / {lagged('close', 63)} - 1 AS m FROM grid) WHERE stored AND m IS NOT NULL)",
+          f"books AS (SELECT 'ret_63d@' || b AS scenario, 10 AS k, false AS even, b::DOUBLE AS flat, NULL::DATE AS first, NULL::DATE AS last FROM (SELECT unnest([{', '.join(f'{b}.0::DOUBLE' for b in _SWEEP)}]) AS b))", "sc AS (SELECT scenario, date, ticker, m AS score FROM mk, books)", S.SETTING, result=_PARTS),
+    "scenario date n_names rebalance", "log_equity cash_part cost_part",
+)
 def z11_cost_sweep(spark, sf):
-    p = prices(spark, sf)
     s = B.column_scores(stored(grid(spark, sf).withColumn("s", X.simple_return("close", 63))), "s", "ret_63d")
-    return B.equity_of(B.run_backtest(p, B.cost_sweep(s, [0, 5, 10, 25, 50])))
+    return parts(B.equity_of(B.run_backtest(prices(spark, sf), B.cost_sweep(s, list(_SWEEP)), kinds=("equity",))))
 
 
 @query(
