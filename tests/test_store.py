@@ -109,7 +109,9 @@ def test_ingest_never_raises(spark, tmp_path):
             raise OSError("no route")
         return bars(spark, [(ticker, start, 1.0, 1.0)])
 
-    run = ST.ingest(s, fetch, ["A", "BAD"], D(2024, 1, 1), as_of=D(2024, 1, 9), run_id="r1")
+    waits = []
+    run = ST.ingest(s, fetch, ["A", "BAD"], D(2024, 1, 1), as_of=D(2024, 1, 9), run_id="r1", sleep=waits.append)
+    assert waits == [1.0, 2.0] and {r.ticker: r.attempts for r in run.collect()} == {"A": 1, "BAD": 3}
     assert {(r.ticker, r.status) for r in run.collect()} == {("A", "ok"), ("BAD", "failed")}
     again = ST.ingest(s, fetch, ["A"], D(2020, 1, 1), as_of=D(2024, 1, 9), run_id="r2").first()
     assert again.start == D(2023, 12, 27)
@@ -146,3 +148,49 @@ def test_stream_equals_batch(spark, tmp_path):
         upsert_stream(spark.readStream.schema(part.schema).parquet(str(src)), s, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.ticker, r.date.day, r.close) for r in s.scan("bars").collect())
     assert got == [("A", 1, 12.0), ("A", 2, 13.0), ("B", 1, 10.0)]
+
+
+def test_ingest_retries_and_gives_up(spark, tmp_path):
+    s, calls = Store(spark, str(tmp_path)), []
+
+    def fetch(ticker, start, end):
+        calls.append(ticker)
+        if ticker == "LATE" and calls.count("LATE") < 3:
+            raise OSError("busy")
+        if ticker == "GONE":
+            raise ST.Refused("no such name")
+        if ticker.startswith("X"):
+            raise OSError("no route")
+        return bars(spark, [(ticker, start, 1.0, 1.0)])
+
+    run = ST.ingest(s, fetch, ["GONE", "LATE", "X1", "X2", "A"], D(2024, 1, 1), as_of=D(2024, 1, 9), run_id="r", give_up_after=2, sleep=lambda _: None)
+    got = {r.ticker: (r.status, r.attempts) for r in run.collect()}
+    assert got == {"GONE": ("failed", 1), "LATE": ("ok", 3), "X1": ("failed", 3), "X2": ("failed", 3), "A": ("skipped", 0)}
+
+
+def test_upsert_scans_the_partitions_it_names(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path))
+    s.upsert("bars", bars(spark, [(t, D(2024, 1, 1), 10.0, 1.0) for t in "ABC"])).collect()
+    plans = []
+    whole = ST.merge_bars
+    monkeypatch.setattr(ST, "merge_bars", lambda old, new: (plans.append(old._jdf.queryExecution().executedPlan().toString()), whole(old, new))[1])
+    one = s.upsert("bars", bars(spark, [("B", D(2024, 1, 1), 11.0, 1.0)]))
+    two = s.upsert("bars", bars(spark, [("C", D(2024, 1, 2), 12.0, 1.0)]))  # before the first answer is read
+    assert [tuple(r) for r in one.collect()] == [("B", 0, 1, 0)] and [tuple(r) for r in two.collect()] == [("C", 1, 0, 0)]
+    assert "PartitionFilters: [isnotnull(ticker" in plans[0] and "(ticker" in plans[0] and "= B" in plans[0]
+    assert sorted((r.ticker, r.close) for r in s.scan("bars").collect()) == [("A", 10.0), ("B", 11.0), ("C", 10.0), ("C", 12.0)]
+
+
+def test_quarantine_of_some_tickers_leaves_the_others(spark):
+    from tidegrid.operators import quality as Q
+
+    b = bars(spark, [(t, D(2024, 1, 1), 10.0, 1.0) for t in "AB"]).withColumns({"open": F.lit(1.0), "high": F.lit(1.0), "low": F.lit(1.0)})
+    b = b.withColumn("quarantined", F.lit(True))
+    old = b.select("ticker", "date", F.lit("bad_price").alias("check"), "open", "high", "low", "close", "volume", F.lit("error").alias("severity"), F.lit("").alias("detail"), F.lit("").alias("reason"), F.lit("2020-01-01").cast("timestamp").alias("quarantined_at"), F.lit(None).cast("timestamp").alias("released_at"))
+    none = spark.createDataFrame([], "check string, ticker string, date date, detail string, idx int, verdict string, reason string")
+    now = F.lit("2021-01-01").cast("timestamp")
+    records, flagged = Q.apply_quarantine(old, none, b, now, ["A"])
+    assert {r.ticker: r.released_at is None for r in records.collect()} == {"A": False, "B": True}
+    assert {r.ticker: r.quarantined for r in flagged.collect()} == {"A": False, "B": True}
+    records, flagged = Q.apply_quarantine(old, none, b, now)
+    assert all(r.released_at is not None for r in records.collect()) and not any(r.quarantined for r in flagged.collect())

@@ -125,19 +125,24 @@ def run_checks(bars: DataFrame, splits: DataFrame, sessions: DataFrame, listings
     return out.orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), order, "ticker", "date")
 
 
-def apply_quarantine(records: DataFrame, triaged: DataFrame, bars: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def apply_quarantine(records: DataFrame, triaged: DataFrame, bars: DataFrame, now: Column, tickers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, bars) after a run: bad-data flags on stored bars open records, vanished ones close theirs
-    (`released_at`), nothing is deleted; a bar is flagged while any record of it is open."""
+    (`released_at`), nothing is deleted; a bar is flagged while any record of it is open. With `tickers`, the run
+    checked only those: the records and bar flags of all others stay as they are."""
     cols = ["open", "high", "low", "close", "volume"]
+    checked = F.lit(True) if tickers is None else F.col("ticker").isin(tickers)
+    triaged = triaged.where(checked)
     wanted = triaged.where(F.col("verdict") == BAD_DATA).join(bars.select("ticker", "date", *cols), ["ticker", "date"]).dropDuplicates(["ticker", "date", "check"])
     keys = ["ticker", "date", "check"]
-    open_ = records.where("released_at is null")
+    open_ = records.where("released_at is null").where(checked)
     closed = open_.join(wanted.select(*keys), keys, "left_anti").withColumn("released_at", now)
     severity = F.create_map(*[F.lit(x) for k, v in CHECKS.items() for x in (k, v)])
     fresh = wanted.join(open_.select(*keys), keys, "left_anti").select(*keys, *cols, severity[F.col("check")].alias("severity"), "detail", F.coalesce("reason", F.lit("")).alias("reason"), now.alias("quarantined_at"), F.lit(None).cast("timestamp").alias("released_at"))
     kept = append_only(records, closed, [*keys, "quarantined_at"]).unionByName(fresh.select(records.columns))
     marks = wanted.select("ticker", "date").distinct().withColumn("_q", F.lit(True))
-    flagged = bars.drop("quarantined").join(marks, ["ticker", "date"], "left").withColumn("quarantined", F.coalesce("_q", F.lit(False))).drop("_q")
+    before = F.coalesce("quarantined", F.lit(False)) if "quarantined" in bars.columns else F.lit(False)
+    after = F.when(checked, F.coalesce("_q", F.lit(False))).otherwise(before)
+    flagged = bars.join(marks, ["ticker", "date"], "left").withColumn("quarantined", after).drop("_q")
     return kept, flagged
 
 

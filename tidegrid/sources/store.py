@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -55,15 +57,18 @@ class Store:
         writer.parquet(self.path(name))
 
     def upsert(self, name: str, incoming: DataFrame) -> DataFrame:
-        """Merge rows on the table's key and return added, updated, unchanged per partition value. Partitions
-        without a change are not written; the merged rows are stored aside first, as they derive from the table."""
+        """Merge rows on the table's key and return added, updated, unchanged per partition value. Only the
+        partitions that the rows name are scanned; those without a change are not written. The merged rows are
+        stored aside first, as they derive from the table, under a path of this call's own."""
         schema, keys = S.KEYS[name]
         part = self.PARTITION[name]
         rows = S.conform(incoming, schema, keys)
         values = [c for c in schema.names if c not in keys]
-        changes = merge_bars(self.scan(name), rows) if name == "bars" else compare(self.scan(name), rows, keys, values)
-        staged = f"{self.root}/_staged_{name}"
-        changes.select(*keys, *values, "change").write.mode("overwrite").parquet(staged)
+        named = [r[0] for r in rows.select(part).distinct().collect()]  # a value for each partition delivered
+        held = self.scan(name).where(F.col(part).isin(named))
+        changes = merge_bars(held, rows) if name == "bars" else compare(held, rows, keys, values)
+        staged = f"{self.root}/_staged/{name}-{uuid.uuid4().hex}"
+        changes.select(*keys, *values, "change").write.parquet(staged)
         done = self.spark.read.parquet(staged)
         dirty = done.where(F.col("change").isin(ADDED, UPDATED)).select(part).distinct()
         if not dirty.isEmpty():
@@ -172,11 +177,36 @@ def read_dimension(spark: SparkSession, path: str, schema: T.StructType) -> Data
 # ---- ingest and ledgers -----------------------------------------------------------------------
 
 
-def ingest(store: Store, fetch: Callable[[str, dt.date, dt.date], DataFrame], tickers: list[str], requested: dt.date, *, as_of, run_id: str) -> DataFrame:
+class Refused(Exception):
+    """A provider's answer that no further attempt changes."""
+
+
+def attempt(call: Callable[[], DataFrame], attempts: int = 3, wait: float = 1.0, factor: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame | None, int, Exception | None]:
+    """(result, attempts made, last error): a call is tried again after waits that grow by `factor`, at once given
+    up when Refused."""
+    for n in range(1, attempts + 1):
+        try:
+            return call(), n, None
+        except Refused as e:
+            return None, n, e
+        except Exception as e:  # whatever a provider's client raises
+            if n == attempts:
+                return None, n, e
+            sleep(wait * factor ** (n - 1))
+    raise ValueError("attempts must be 1 or more")
+
+
+def ingest(
+    store: Store, fetch: Callable[[str, dt.date, dt.date], DataFrame], tickers: list[str], requested: dt.date, *, as_of, run_id: str,
+    attempts: int = 3, wait: float = 1.0, give_up_after: int = 10, sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
     """Fetch and merge each ticker; a row of the manifest for each, failures included, and nothing raised.
 
-    The loop is over fetches, which are requests to a provider; all stored ends come from one aggregation.
+    Each fetch is tried up to `attempts` times with growing waits. After give_up_after failures in a row the
+    provider counts as gone: the tickers that are left are `skipped`. The loop is over fetches, which are requests
+    to a provider; all stored ends come from one aggregation, and a merge scans its own ticker's partition.
     """
+    failures = 0
     until = resolve_as_of(as_of)
     ends = {r.ticker: r.last_date for r in max_stored_dates(store.scan("bars"), tickers).collect()}  # one row for each ticker asked for
     out = []
@@ -185,12 +215,19 @@ def ingest(store: Store, fetch: Callable[[str, dt.date, dt.date], DataFrame], ti
         last = ends.get(ticker)
         start = max(requested, last - dt.timedelta(days=REFETCH_DAYS)) if last else requested
         row = dict.fromkeys(S.MANIFEST.names) | {"run_id": run_id, "ticker": ticker, "started_at": began, "as_of": until, "requested_start": requested, "start": start, "end": until, "refetch_days": REFETCH_DAYS, "attempts": 1}
+        if failures >= give_up_after:
+            out.append(row | {"status": "skipped", "attempts": 0, "error": f"{failures} failures in a row before", "finished_at": began, "seconds": 0.0})
+            continue
+        rows, row["attempts"], error = attempt(lambda t=ticker, s=start: fetch(t, s, until), attempts, wait, sleep=sleep)
         try:
-            rows = fetch(ticker, start, until)
+            if error is not None:
+                raise error
             counted = store.upsert("bars", rows).first()
             row |= {"status": "ok", "rows_added": counted.added, "rows_updated": counted.updated, "rows_unchanged": counted.unchanged} if counted else {"status": "empty"}
+            failures = 0
         except Exception as e:  # a provider's failure is a status, not the end of the run
             row |= {"status": "failed", "error": f"{type(e).__name__}: {e}"[:500]}
+            failures += 1
         now = dt.datetime.now()
         out.append(row | {"finished_at": now, "seconds": (now - began).total_seconds()})
     return store.spark.createDataFrame([tuple(r[c] for c in S.MANIFEST.names) for r in out], S.MANIFEST)
