@@ -44,7 +44,9 @@ def information_coefficient(df: DataFrame, score: str, target: str, least: int =
     b, _ = average_rank(F.col(target), ["date"])
     ranked = both.select("date", a.alias("a"), b.alias("b"))
     varied = (F.min("a") < F.max("a")) & (F.min("b") < F.max("b")) & (F.count("*") >= least)
-    return ranked.groupBy("date").agg(F.when(varied, F.corr("a", "b")).alias("ic"), F.count("*").alias("n"))
+    # not F.corr, which divides before the condition is looked at
+    corr = ratio(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))
+    return ranked.groupBy("date").agg(F.when(varied, corr).alias("ic"), F.count("*").alias("n"))
 
 
 def top_overlap(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -110,6 +110,11 @@ def model(name: str, features: list[str], **params) -> Model:
     return MODELS[name](features, **params)
 
 
+def registry() -> list[tuple[str, str]]:
+    """(name, what it predicts) of each model, by name."""
+    return [(n, "probability" if MODELS[n](["x"]).probability else "score") for n in sorted(MODELS)]
+
+
 def walk_forward(frame: DataFrame, folds: DataFrame, name: str, features: list[str], **params) -> DataFrame:
     """(fold, date, ticker, score, target): one fit for each fold, which is the unit of work here."""
     out = None
@@ -226,20 +231,38 @@ def coefficient_table(coefs: DataFrame) -> DataFrame:
     return coefs.groupBy("feature").agg(F.avg("value").alias("mean"), F.max_by("value", "fold").alias("last"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg((F.col("value") > 0).cast("double")).alias("positive"))
 
 
-def ic_summary(ic: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """(n, mean, std, share_positive, t): t over the root of the horizon, as labels overlap."""
+def ic_summary(ic: DataFrame, horizon: int = HORIZON, by: list[str] | None = None) -> DataFrame:
+    """(by..., n, mean, std, share_positive, t): over all dates, or for each fold or year; t over the root of the
+    horizon, as labels overlap."""
     m, s = F.avg("ic"), F.stddev_samp("ic")
     n = F.count("ic")
-    return ic.agg(n.alias("n"), m.alias("mean"), s.alias("std"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"), (ratio(m, s) * F.sqrt(n) / F.sqrt(F.lit(float(horizon)))).alias("t"))
+    return ic.groupBy(*(by or [])).agg(n.alias("n"), m.alias("mean"), s.alias("std"), F.avg((F.col("ic") > 0).cast("double")).alias("share_positive"), (ratio(m, s) * F.sqrt(n) / F.sqrt(F.lit(float(horizon)))).alias("t"))
 
 
 def fairness(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(check, passed): two prediction tables cover the same rows, folds, dates and targets."""
+    """(check, passed): what makes two prediction tables (fold, date, ticker, score, target) comparable.
+
+    rows, folds, targets: both have the same (date, ticker), (fold, date) and (date, ticker, target). axis, span,
+    names: the same dates, first and last date, and tickers. unique: no key twice in either. scores: none is
+    missing or not finite. coverage: as many rows on each date. order: in either, later folds have later dates."""
     checks = []
-    for name, cols in (("rows", ["date", "ticker"]), ("folds", ["fold", "date"]), ("targets", ["date", "ticker", "target"])):
+    for name, cols in (("rows", ["date", "ticker"]), ("folds", ["fold", "date"]), ("targets", ["date", "ticker", "target"]), ("axis", ["date"]), ("names", ["ticker"])):
         x, y = a.select(*cols).distinct(), b.select(*cols).distinct()
         both = x.withColumn("_s", F.lit(1)).unionByName(y.withColumn("_s", F.lit(2))).groupBy(*cols).agg(F.sum("_s").alias("_s"))
         checks.append(both.agg(F.lit(name).alias("check"), (F.count_if(F.col("_s") != 3) == 0).alias("passed")))
+    cols = ["fold", "date", "ticker", "score"]
+    two = a.select(F.lit(1).alias("_s"), *cols).unionByName(b.select(F.lit(2).alias("_s"), *cols))
+    keys = two.groupBy("_s", "date", "ticker").count()
+    checks.append(keys.agg(F.lit("unique").alias("check"), (F.max("count") <= 1).alias("passed")))
+    sound = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    checks.append(two.agg(F.lit("scores").alias("check"), (F.count_if(~sound) == 0).alias("passed")))
+    ends = two.groupBy("_s").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    checks.append(ends.agg(F.lit("span").alias("check"), ((F.min("lo") == F.max("lo")) & (F.min("hi") == F.max("hi"))).alias("passed")))
+    per_date = two.groupBy("date").agg(F.count_if(F.col("_s") == 1).alias("x"), F.count_if(F.col("_s") == 2).alias("y"))
+    checks.append(per_date.agg(F.lit("coverage").alias("check"), (F.count_if(F.col("x") != F.col("y")) == 0).alias("passed")))
+    spans = two.groupBy("_s", "fold").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    before = spans.withColumn("_p", F.lag("hi").over(Window.partitionBy("_s").orderBy("fold")))
+    checks.append(before.agg(F.lit("order").alias("check"), (F.count_if(F.col("lo") <= F.col("_p")) == 0).alias("passed")))
     return reduce(DataFrame.unionByName, checks)
 
 
@@ -258,7 +281,9 @@ def rank_correlation(ranks: DataFrame, features: list[str]) -> DataFrame:
     if not pairs:
         return ranks.sparkSession.createDataFrame([], "a string, b string, corr double, n long")
     both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    row = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr"), F.count_if(both(a, b)).alias("n")) for a, b in pairs])
+    one = lambda a, b: F.when(both(a, b), F.col(a))
+    corr = lambda a, b: ratio(F.covar_pop(a, b), F.stddev_pop(one(a, b)) * F.stddev_pop(one(b, a)))
+    row = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr"), F.count_if(both(a, b)).alias("n")) for a, b in pairs])
     return ranks.agg(row.alias("r")).select(F.inline("r"))
 
 

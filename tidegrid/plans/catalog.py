@@ -59,4 +59,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from tidegrid.plans import queries_data, queries_features, queries_portfolio  # noqa: F401  they register themselves
+    from tidegrid.plans import queries_data, queries_features, queries_more, queries_portfolio  # noqa: F401  they register themselves

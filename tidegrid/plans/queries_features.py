@@ -176,7 +176,31 @@ def t11_ema(spark, sf):
     return recursive_columns(b, "close", "close", "tr")
 
 
-@query()
+def _smoothed(name: str, source: str, value: str, n: int, weight: str) -> list[str]:
+    """SQL of an average that feeds on its last value, over the valued rows of a ticker: seeded with the mean of the
+    first n, then `weight` for each new value. `name` has it at those rows."""
+    return [
+        f"o_{name} AS MATERIALIZED (SELECT ticker, date, {value} AS x, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM {source} WHERE {value} IS NOT NULL)",
+        f"r_{name} AS (SELECT ticker, {n}::BIGINT AS i, avg(x) AS l FROM o_{name} WHERE i <= {n} GROUP BY ticker HAVING count(*) = {n} UNION ALL SELECT o.ticker, o.i, o.x * {weight} + e.l * (1 - {weight}) FROM r_{name} e JOIN o_{name} o ON o.ticker = e.ticker AND o.i = e.i + 1)",
+        f"{name} AS MATERIALIZED (SELECT ticker, date, l FROM r_{name} JOIN o_{name} USING (ticker, i))",
+    ]
+
+
+_EMAS = [x for n in (20, 50, 200, 12, 26) for x in _smoothed(f"ema{n}", "grid", "close", n, f"(2.0::DOUBLE / {n + 1})")]
+_LEVELS = "lv AS MATERIALIZED (SELECT g.ticker, g.date, " + ", ".join(f"last_value(ema{n}.l IGNORE NULLS) OVER w AS e{n}" for n in (20, 50, 200, 12, 26)) + " FROM grid g " + " ".join(f"LEFT JOIN ema{n} ON ema{n}.ticker = g.ticker AND ema{n}.date = g.date" for n in (20, 50, 200, 12, 26)) + " WINDOW w AS (PARTITION BY g.ticker ORDER BY g.date ROWS UNBOUNDED PRECEDING))"
+_RECURSIVE = (
+    f"tr AS MATERIALIZED (SELECT ticker, date, stored, close - {lagged('close', 1)} AS ch, CASE WHEN high IS NOT NULL AND low IS NOT NULL AND {lagged('close', 1)} IS NOT NULL THEN greatest(high - low, abs(high - {lagged('close', 1)}), abs(low - {lagged('close', 1)})) END AS r FROM grid)",
+    *_EMAS, _LEVELS, "ln AS MATERIALIZED (SELECT ticker, date, e12 - e26 AS macd FROM lv)", *_smoothed("sig", "ln", "macd", 9, "0.2::DOUBLE"),
+    "ud AS MATERIALIZED (SELECT ticker, date, greatest(ch, 0) AS u, greatest(-ch, 0) AS d FROM tr WHERE ch IS NOT NULL)",
+    *_smoothed("atr", "tr", "r", 14, "(1.0::DOUBLE / 14)"), *_smoothed("up", "ud", "u", 14, "(1.0::DOUBLE / 14)"), *_smoothed("dn", "ud", "d", 14, "(1.0::DOUBLE / 14)"),
+)
+
+
+@query(
+    with_(*GRID, *_RECURSIVE, "al AS (SELECT tr.ticker, tr.date, stored, e20, e50, e200, atr.l AS a, up.l AS u, dn.l AS d, macd, last_value(sig.l IGNORE NULLS) OVER (PARTITION BY tr.ticker ORDER BY tr.date ROWS UNBOUNDED PRECEDING) AS s FROM tr JOIN lv USING (ticker, date) JOIN ln USING (ticker, date) LEFT JOIN atr USING (ticker, date) LEFT JOIN up USING (ticker, date) LEFT JOIN dn USING (ticker, date) LEFT JOIN sig USING (ticker, date))",
+          result="SELECT ticker, date, e20 AS ema_20, e50 AS ema_50, e200 AS ema_200, a AS atr_14, CASE WHEN u + d = 0 THEN 50 ELSE 100 * u / (u + d) END AS rsi_14, macd, s AS macd_signal, macd - s AS macd_hist FROM al WHERE stored"),
+    "ticker date", "ema_20 ema_50 ema_200 atr_14 rsi_14 macd macd_signal macd_hist",
+)
 def t8_recursive(spark, sf):
     g = grid(spark, sf).withColumn("tr", X.true_range("high", "low", "close"))
     return stored(recursive_columns(g, "close", "close", "tr")).select("ticker", "date", "ema_20", "ema_50", "ema_200", "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist")

@@ -268,7 +268,14 @@ def fold_dates(spark, sf):
     return L.walk_forward_splits(axis, ends, min_train=600, test=400, embargo=21, horizon=21), ends
 
 
-@query()
+_FOLDS = (
+    "ax AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars))",
+    "fo AS (SELECT st, row_number() OVER (ORDER BY st) - 1 AS fold FROM (SELECT unnest(range(621, (SELECT count(*) FROM ax), 400)) AS st))",
+    "fd AS (SELECT CAST(fold AS INTEGER) AS fold, date, CASE WHEN i < st THEN 'train' ELSE 'test' END AS role FROM fo JOIN ax ON i + 21 < st OR (i >= st AND i < st + 400))",
+)
+
+
+@query(with_(H.BARS_SQL, *_FOLDS, result="SELECT fold, date, role FROM fd"), "fold date role")
 def b7_walk_forward_folds(spark, sf):
     return L.fold_table(spark, fold_dates(spark, sf)[0])
 
@@ -290,13 +297,39 @@ def m2_gram_by_date(spark, sf):
     return ML.gram_by_date(model_frame(spark, sf), FEATURES)
 
 
-@query()
+def _ridge_sql() -> tuple[str, ...]:
+    """The penalised normal equations of three centred features, solved by determinants."""
+    cols = ("a", "b", "v")
+    sums = ", ".join(f"sum({x} * {y}) - sum({x}) * sum({y}) / count(*) AS {x}{y}" for i, x in enumerate((*cols, "target")) for y in (*cols, "target")[i:])
+    means = ", ".join(f"avg({x}) AS m_{x}" for x in (*cols, "target"))
+    pair = lambda x, y: "(" + "".join(sorted((x, y))) + (" + 1)" if x == y else ")")
+    rows = [[pair(x, y) for y in cols] for x in cols]
+    right = [f"({x}target)" for x in cols]
+
+    def det(m):
+        return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+
+    solved = ", ".join(f"{det([[right[r] if c == k else rows[r][c] for c in range(3)] for r in range(3)])} / {det(rows)} AS w_{x}" for k, x in enumerate(cols))
+    return (
+        f"gs AS (SELECT fold, {sums}, {means} FROM fr JOIN fd USING (date) WHERE role = 'train' AND target IS NOT NULL GROUP BY fold)",
+        f"ws AS (SELECT fold, m_a, m_b, m_v, m_target, {solved} FROM gs)",
+    )
+
+
+_RIDGE = with_(*GRID, _SCORED, *_FRAME, *_FOLDS, *_ridge_sql(), result="SELECT fold, date, ticker, m_target + w_a * (a - m_a) + w_b * (b - m_b) + w_v * (v - m_v) AS score, target FROM fr JOIN fd USING (date) JOIN ws USING (fold) WHERE role = 'test'")
+
+
+@query(_RIDGE, "fold date ticker", "score target")
 def m2_ridge_predictions(spark, sf):
     folds = L.fold_table(spark, fold_dates(spark, sf)[0])
     return ML.ridge_walk_forward(model_frame(spark, sf), folds, FEATURES)[0]
 
 
-@query()
+@query(
+    with_(*GRID, _SCORED, *_FRAME, *_FOLDS, *_ridge_sql(), "lw AS (SELECT fold, feature, value FROM (SELECT fold, w_a AS a, w_b AS b, w_v AS v FROM ws) UNPIVOT (value FOR feature IN (a, b, v)))",
+          result="SELECT feature, avg(value) AS mean, arg_max(value, fold) AS last, min(value) AS low, max(value) AS high, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM lw GROUP BY feature"),
+    "feature", "mean last low high positive",
+)
 def a22_coefficients(spark, sf):
     folds = L.fold_table(spark, fold_dates(spark, sf)[0])
     return ML.coefficient_table(ML.ridge_walk_forward(model_frame(spark, sf), folds, FEATURES)[1])
