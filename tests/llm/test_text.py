@@ -36,6 +36,31 @@ def test_restore(toxic_model, token, word):
     assert toxicity.restore(token, toxic_model.chars) == word
 
 
+@pytest.mark.parametrize("token", ["b1o", "gr@b", "sn.iv", "aaab0", "8l$rk", "g-r_u8"])
+def test_viterbi_is_the_best_of_all_paths(toxic_model, token):
+    import itertools
+
+    chars, best = toxic_model.chars, None
+    for path in itertools.product(*toxicity.lattice(token)):
+        word, cost = "".join(c for c, _ in path), sum(x for _, x in path)
+        w = f"\x02\x02{word}\x03"
+        cost += sum(chars.cost(w[i - 2 : i], w[i]) for i in range(2, len(w)))
+        best = min(best or (1e9, ""), (cost, word))
+    got = toxicity.restore(token, chars)
+    w = f"\x02\x02{got}\x03"
+    ways = [sum(x for _, x in path) for path in itertools.product(*toxicity.lattice(token)) if "".join(c for c, _ in path) == got]
+    assert min(ways) + sum(chars.cost(w[i - 2 : i], w[i]) for i in range(2, len(w))) == pytest.approx(best[0])
+
+
+def test_long_disguised_tokens_and_texts(toxic_model):
+    run = "5t0n3.r1v3r." * 8 + "bl0rkh34d" + ".c4lm.w4t3r" * 9 + ".sn1v3lr4t"
+    assert len(run) > 200 and toxic_model.score(noise(random.Random(3), 20) + " " + run) >= 0.7
+    clean = "5t0n3.r1v3r." * 20
+    assert len(clean) > 200 and toxic_model.score(noise(random.Random(3), 20) + " " + clean) < 0.5
+    long = noise(random.Random(4), 60_000)
+    assert toxic_model.score(long) < 0.5 and toxic_model.score(long + " bl0rkhead sn1velrat") >= 0.7
+
+
 def test_scores_see_through_disguise(toxic_model):
     m, rng = toxic_model, random.Random(2)
     for bad in ("blorkhead snivelrat", "bl0rkhead sn1velrat", "b l o r k h e a d and g-r-u-b-f-a-c-e"):
@@ -106,6 +131,26 @@ def test_leaks_match_brute_force():
         assert got == want, case
 
 
+def test_short_items_are_found_as_they_are():
+    index = decontaminate.Index([(1, "a b c"), (2, "x=1"), (3, "a b"), (4, "Zürich"), (5, "a b c"), (6, "long enough to have grams")])
+    texts = ["say a b c now", "a bc", "(x=1) x=12", "ZÜRICH!".lower(), "", "xa b c"]
+    got = sorted((d, i, texts[d][a:b]) for d, i, a, b, _ in index.search(texts))
+    assert got == [(0, 1, "a b c"), (0, 3, "a b"), (0, 5, "a b c"), (2, 2, "x=1"), (3, 4, "zürich")]
+
+
+def test_passages_off_the_grid_and_a_very_long_text(spark):
+    rng = random.Random(14)
+    item = "".join(rng.choice("abcdefghijklmnop ") for _ in range(900)).strip()
+    index = decontaminate.Index([(1, item)])
+    norm = decontaminate.normal(item)
+    for at in range(0, len(norm) - 125, 37):
+        assert list(index.search(["zz " * 40 + norm[at : at + 125] + " qq" * 40])), at
+    long = "clean words and more of them " * 60_000
+    docs = spark.createDataFrame([(1, long + item), (2, long), (None, item), (3, item), (3, item)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0) for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect())
+    assert got == [0, 1, 3, 3]
+
+
 def test_leak_frames(spark):
     item = noise(random.Random(8), 30)
     docs = spark.createDataFrame([(1, "x " + item.upper().replace(" ", "\n ") + " y", 5), (2, "other words altogether " * 20, 5), (3, None, 5), (4, "", 5), (1, "clean", 5)], "doc_id long, text string, item_id long")
@@ -188,6 +233,52 @@ def test_lattice_scores(spark):
     assert lattice.score(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_scores_of_whole_texts_by_enumeration(spark, monkeypatch, pieces):
+    """Every segmentation of every word of a text, under probabilities made by hand from the expected counts."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lattice.Pieces, "from_model", classmethod(lambda cls, path=None: pieces))
+    rows = [(3, "abc ab"), (6, "cab a abc"), (9, None), (1, "abc b ab zc"), (4, "ABCABC")]
+    got = {r.doc_id: r.score for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 3 == 0).collect()}
+
+    def ways(word, p):
+        out, open_ = [], [[]]
+        while open_:
+            way = open_.pop()
+            at = sum(map(len, way))
+            if at == len(word):
+                out.append(way)
+            open_ += [way + [word[at : at + k]] for k in range(1, len(word) - at + 1) if word[at : at + k] in p]
+        return out
+
+    split = lambda t: [b" " + w.encode() for w in (t or "").lower().split()]
+    p = dict(zip(pieces.strings, np.exp(pieces.log_p), strict=True))
+    used = Counter()
+    for i, t in rows:
+        if i % 3 == 0:
+            for word in split(t):
+                each = [(math.prod(p[x] for x in way), way) for way in ways(word, p)]
+                for weight, way in each:
+                    for x in way:
+                        used[x] += weight / sum(w for w, _ in each)
+    mass = {x: used[x] + p[x] * len(p) for x in p}
+    total, texts = sum(mass.values()) + 3 + 1, 3
+    final = {x: m / total for x, m in mass.items()}
+    for i, t in rows:
+        want = math.log10((texts + 1) / total) + sum(math.log10(sum(math.prod(final[x] for x in way) for way in ways(word, final))) for word in split(t))
+        assert got[i] == pytest.approx(want)
+
+
+def test_scores_of_a_very_long_text(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, noise(random.Random(1), 200_000)), (2, "x" * 300_000), (3, "calm water")]
+    got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    assert got[1].n_tokens == 200_001 and got[2].n_tokens == 2 and all(math.isfinite(r.score) for r in got.values())
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), "/nowhere")
+
+
 # ---- mixing -----------------------------------------------------------------------------------
 
 

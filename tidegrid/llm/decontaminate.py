@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -58,10 +59,11 @@ class Window:
 
 
 def windows_of(item: int, chars: np.ndarray, q: int, rate: float, size: int) -> list[Window]:
-    """Parts of `size` characters, half overlapping, the last at the end; a shorter item is one part.
-    `least`: a region within the part's edit budget shares that many q-grams with it (the q-gram lemma)."""
+    """Parts of `size` characters, one from every quarter of that, the last at the end; a shorter item is one part.
+    `least`: a region within the part's edit budget shares that many q-grams with it (the q-gram lemma). The
+    budget is rate x length, but at most length / q - 1: more edits may leave no q-gram at all."""
     m = min(size, len(chars))
-    starts = list(range(0, len(chars) - m + 1, max(1, m // 2))) if m else []
+    starts = list(range(0, len(chars) - m + 1, max(1, m // 4))) if m else []
     if starts and starts[-1] != len(chars) - m:
         starts.append(len(chars) - m)
     out = []
@@ -80,6 +82,13 @@ class Index:
         self.q, self.ids = q, [i for i, _ in items]
         texts = [codes(normal(t)) for _, t in items]
         self.items = texts
+        #: Items too short for a q-gram are looked for as they are, between word bounds.
+        short = {normal(t): k for k, (_, t) in reversed(list(enumerate(items))) if 0 < len(texts[k]) < q}
+        self.short = re.compile(r"(?<!\w)(?=(" + "|".join(map(re.escape, sorted(short, key=len, reverse=True))) + r")(?!\w))") if short else None
+        self.short_items = {}
+        for k, (_, t) in enumerate(items):
+            if 0 < len(texts[k]) < q:
+                self.short_items.setdefault(normal(t), []).append(k)
         self.windows = [windows_of(k, t, q, rate, window) if len(t) >= q else [] for k, t in enumerate(texts)]
         self.least = min((w.least for ws in self.windows for w in ws), default=1)
         self.reach = max((len(w.chars) + w.edits for ws in self.windows for w in ws), default=1)
@@ -98,8 +107,22 @@ class Index:
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[(self.keys >> self.shift).astype(np.int64)] = True
 
+    def exact(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of every short item in each text."""
+        for d, text in enumerate(texts):
+            seen: dict[str, int] = {}
+            for hit in self.short.finditer(text):
+                # of items that begin at one place the longest is matched; shorter ones may end at a word bound too
+                for word in self.short_items:
+                    at = hit.start()
+                    if word not in seen and text.startswith(word, at) and not (text[at + len(word) : at + len(word) + 1].isalnum() or text[at + len(word) : at + len(word) + 1] == "_"):
+                        seen[word] = at
+            yield from sorted((d, self.ids[k], at, at + len(word), 0) for word, at in seen.items() for k in self.short_items[word])
+
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(number of the text, item id, start, end, edits) of every leak, the best region for each item."""
+        if self.short is not None:
+            yield from self.exact(texts)
         parts, starts, at = [], [], 0
         gap = np.full(self.q, _GAP, np.uint32)
         for t in texts:
@@ -198,10 +221,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR
     """Leaks of benchmark(item_id, text) in docs(key, text): HITS, one row for each text row and item of which
     a whole window lies in the text within rate x length edits; start and end in the normalised text.
 
-    Texts are compared in lower case with white space runs as one blank. Items of fewer than q characters
-    have no q-gram and are not searched for. The benchmark's size is checked: each pass broadcasts at most
-    PASS_BYTES of it. Null and empty texts have no leaks, repeated rows each have their own, null keys stay;
-    empty tables give none. Other columns are ignored.
+    Texts are compared in lower case with white space runs as one blank. A whole window lies in every passage of
+    1.25 x `window` characters of an item. Items of fewer than q characters have no q-gram: they are found as
+    they are, between word bounds. Windows of under 40 characters allow one edit less than the rate says, as
+    q-grams cannot vouch for more. The benchmark's size is checked: each pass broadcasts at most PASS_BYTES of
+    it. Texts may be of any length; null and empty ones have no leaks, repeated rows each have their own, equal
+    items are each found, null keys stay; empty tables give none. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -237,7 +262,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = ERROR_RATE, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns as they are, in whose text leaks() would find nothing."""
+    """The rows of docs, all columns as they are, in whose text leaks() would find nothing. Null and empty texts and
+    null keys stay, repeated rows alike; an empty benchmark keeps all."""
     spark, out = docs.sparkSession, docs
     prepare(spark)
     for part in passes(benchmark):

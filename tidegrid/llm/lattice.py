@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, dealt, fragments_for, give_back, mix, prepare, span_hashes, total_bytes, words
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary where neither the caller nor the session's VOCABULARY_SETTING names one; read by the driver only.
+VOCABULARY, VOCABULARY_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tidegrid.vocabulary"
 #: Text bytes that share one table of distinct words, and bytes of text for each fragment of the vocabulary.
 UNIT_BYTES, FRAGMENT_BYTES = 8 << 20, 48 << 20
 #: A piece's weight before learning falls with its rank as 1 / (rank + RANK_SHIFT).
@@ -47,7 +48,7 @@ class Pieces:
         import sentencepiece
 
         if not os.path.exists(path):
-            raise FileNotFoundError(f"no vocabulary at {path}")
+            raise FileNotFoundError(f"no sentencepiece model at {path}: pass the path of one to score(vocabulary=...), or set VOCABULARY_SETTING")
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ranked = {}
         for i in range(model.get_piece_size()):
@@ -195,7 +196,7 @@ def _spread(unit: Unit, fragments: int) -> Iterator[tuple[int, np.ndarray]]:
     home = (unit.hashes % np.uint64(fragments)).astype(np.int64)
     order = np.argsort(home, kind="stable")
     bounds = np.searchsorted(home[order], np.arange(fragments + 1))
-    for f in range(fragments):
+    for f in np.flatnonzero(np.diff(bounds)).tolist():
         yield f, order[bounds[f] : bounds[f + 1]]
 
 
@@ -205,7 +206,9 @@ def _vocabulary(fragments: int):
             train = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
             counts = np.bincount(unit.word[train[unit.text]], minlength=len(unit.hashes))
             out = {k: [] for k in _VOCAB.names}
-            for f, which in _spread(unit, fragments):
+            spread = dict(_spread(unit, fragments))
+            spread.setdefault(0, np.zeros(0, np.int64))  # the number of texts travels with fragment 0
+            for f, which in spread.items():
                 which = which[counts[which] > 0]
                 texts = int(train.sum()) if f == 0 else 0
                 if len(which) or texts:
@@ -259,6 +262,7 @@ def _pairs(fragments: int):
             home = (unit.hashes % np.uint64(fragments)).astype(np.int64)
             local = np.empty(len(unit.hashes), np.int64)
             spread = dict(_spread(unit, fragments))
+            spread.setdefault(name % fragments, np.zeros(0, np.int64))
             for which in spread.values():
                 local[which] = np.arange(len(which))
             pair, times = np.unique(unit.text * n_words + unit.word, return_counts=True)
@@ -327,7 +331,7 @@ def _scores(all_tokens: int, distinct: int, train_texts: int, end_log: float):
     return run
 
 
-def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataFrame:
+def score(docs: DataFrame, train: Column, vocabulary: str | None = None) -> DataFrame:
     """SCORES, one row per row of docs(doc_id, text), learning from the rows that meet `train`.
 
     The text is its words (A-Z lower-cased, runs without white space), then one end. base_score: log10 under
@@ -345,7 +349,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     size = total_bytes(rows, "text")
     fragments = fragments_for(size, FRAGMENT_BYTES)
-    first = spark.sparkContext.broadcast(Pieces.from_model(vocabulary))
+    first = spark.sparkContext.broadcast(Pieces.from_model(vocabulary or spark.conf.get(VOCABULARY_SETTING, VOCABULARY)))
     vocab = rows.mapInArrow(_vocabulary(fragments), VOCAB_DDL)
     learned = dealt(vocab, "fragment", size, FRAGMENT_BYTES).groupBy("fragment").applyInArrow(_learn(first), "piece int, used double").groupBy("piece").agg(F.sum("used").alias("used"))
     used = {r.piece: r.used for r in learned.collect()}  # a number for each piece of the vocabulary at most

@@ -141,6 +141,17 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """docs(text, n_chars, ...), all columns as they are, secrets in the texts replaced by a mark and n_chars counted
+    anew where there are any. Null texts and null keys stay, repeated rows alike; columns may have any names."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text")
+    found, _ = scan_versions(own)
+    done = redact(found, mark=mark)
+    n_chars = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("whole.n_chars"))
+    new = {"text": F.col("text"), "n_chars": n_chars}
+    return done.select(*[(new[c] if c in new else F.col(f"whole.`{c}`")).alias(c) for c in docs.columns])
+
+
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """Replace the found spans of a text (overlapping ones together) by a mark; needs `found`."""
     body = F.coalesce(F.col(text), F.lit(""))

@@ -55,8 +55,10 @@ def judge(pages: DataFrame, rules: DataFrame, otherwise: str = "allow", key: str
     ]
     expanded = rows.select("*", F.posexplode(F.array(F.lit(None).cast("string"), *forms)).alias("at", "form"))
     digest = F.sha2("form", 256)
+    # a URL's own row meets no rule; a prefix of its own deals such rows evenly
+    own = F.concat(F.lit("~"), F.xxhash64("key", "host", "path").cast("string"))
     expanded = expanded.where((F.col("at") == 0) | F.col("form").isNotNull()).select(
-        "key", "host", "path", "at", digest.alias("digest"), F.substring(digest, 1, PREFIX_DIGITS).alias("prefix")
+        "key", "host", "path", "at", digest.alias("digest"), F.coalesce(F.substring(digest, 1, PREFIX_DIGITS), own).alias("prefix")
     )
     met = expanded.join(keyed.select("prefix", "rule", "verdict", "rule_length", "rule_digest"), "prefix", "left")
     sure = F.when(F.col("digest") == F.col("rule_digest"), F.struct("rule_length", "verdict", "rule"))
