@@ -7,7 +7,6 @@ secrets are replaced in the texts that hold them, and what is left gets rates th
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidegrid.llm import decontaminate, mixing, ngram_join, secrets, toxicity
 from tidegrid.llm.queries import MIX_TARGETS
@@ -15,37 +14,38 @@ from tidegrid.llm.shared import crc_text, cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+    """Documents that the toxicity model does not reject. Null and empty texts and null keys stay, repeated rows are
+    judged alike, a score at the threshold is a rejection; an empty table stays empty."""
     sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), crc_text("doc_id") % 3 != 1)
-    return toxicity.score(docs, toxicity.fit(sample)).where("tox_predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, toxicity.fit(sample)).where("tox_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity links."""
+    """One document of each group that n-gram similarity links: the smallest key, nulls last; of repeated rows one.
+    Documents without words all stay; an empty table stays empty."""
     return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages. Null and empty texts and null keys stay, repeated rows alike; an empty
+    benchmark or table changes nothing."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark."""
-    found, _ = secrets.scan_versions(docs)
-    n_chars = F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return secrets.redact(found).withColumn("n_chars", n_chars).select(*docs.columns)
+    """All documents, secrets in their texts replaced by a mark. Null texts and keys and repeated rows stay."""
+    return secrets.redacted(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates of all documents that bring the token totals of high and low quality to their targets; those at rate
-    0 go. Toxic documents are gone by now: their share is spread, and labels that still say so are no domain."""
+    0 go. Toxic documents are gone by now: their share is spread, and labels that still say so are no domain.
+    Null and empty texts have no tokens, null keys stay, repeated rows have equal rates; an empty table gives none."""
     labelled = mixing.domains_of_labels(table(spark, sf_dir, "labels")).where("domain <> 'toxic'")
     labelled = labelled.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     share = {d: s for d, s in MIX_TARGETS.items() if d != "toxic"}
     targets = {d: s / sum(share.values()) for d, s in share.items()}
-    rates = mixing.mix(docs, labelled, targets, missing="spread")
-    return rates.where("rate > 0")
+    return mixing.mix(docs, labelled, targets, missing="spread").where("rate > 0")
 
 
 STAGES = [
