@@ -153,6 +153,7 @@ class Index:
         shift = max((len(t) for t in self.items), default=0)
         band = (diagonal + shift) // self.half
         best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+        jobs: dict[tuple[int, int], list[tuple]] = {}  # by length and budget of the window
         for b in (band, band - 1):  # each hit counts in the two bands over it
             key = (doc * len(self.items) + item) * np.int64(span + 1) + b + 1
             order = np.argsort(key, kind="stable")
@@ -160,55 +161,75 @@ class Index:
             for i in np.flatnonzero(counts >= self.least).tolist():
                 pair, low = divmod(int(values[i]), span + 1)
                 d, k = divmod(pair, len(self.items))
+                if (d, k) in best:
+                    continue
                 places = np.sort(self.place[which[order[first[i] : first[i] + counts[i]]]])
-                low, end = (low - 1) * self.half - shift, int(starts[d] + len(texts[d]))
+                low, begin, end = (low - 1) * self.half - shift, int(starts[d]), int(starts[d] + len(texts[d]))
                 for w in self.windows[k]:
-                    if (d, k) in best and best[d, k][4] == 0:
-                        break
                     inside = np.searchsorted(places, [w.start, w.start + len(w.chars) - self.q + 1])
                     if inside[1] - inside[0] < w.least:
                         continue
-                    got = align(w, chars, int(starts[d]), end, low, low + 2 * self.half)
-                    if got and ((d, k) not in best or (got[2], got[0]) < (best[d, k][4], best[d, k][2] + starts[d])):
-                        best[d, k] = (d, self.ids[k], int(got[0] - starts[d]), int(got[1] - starts[d]), got[2])
+                    at = find_exact(w, chars, begin, end, low, low + 2 * self.half)
+                    if at >= 0:  # nothing is better, so the item's other windows in this text can wait
+                        best[d, k] = (d, self.ids[k], at - begin, at - begin + len(w.chars), 0)
+                        break
+                    jobs.setdefault((len(w.chars), w.edits), []).append((d, k, w, begin, end, low))
+        for (m, edits), rows in jobs.items():
+            rows = [r for r in rows if (r[0], r[1]) not in best or best[r[0], r[1]][4]]
+            for at in range(0, len(rows), 2048):
+                lot = rows[at : at + 2048]
+                found = align(np.stack([w.chars for _, _, w, *_ in lot]), np.array([(w.start, *x) for _, _, w, *x in lot], np.int64), chars, edits, 2 * self.half)
+                for (d, k, _, begin, *_), (start, stop, cost) in zip(lot, found.tolist(), strict=True):
+                    if cost <= edits and ((d, k) not in best or (cost, start - begin) < (best[d, k][4], best[d, k][2])):
+                        best[d, k] = (d, self.ids[k], start - begin, stop - begin, cost)
         yield from (best[x] for x in sorted(best))
 
 
-def align(w: Window, chars: np.ndarray, begin: int, end: int, low: int, high: int) -> tuple[int, int, int] | None:
-    """The best alignment of a window along diagonals low..high of a text at begin..end, as (start, end,
-    edits) if within the window's budget. Costs are kept for the band's diagonals only."""
-    m = len(w.chars)
-    a, b = low - w.edits, high + w.edits
-    origin = max(begin, w.start + a)
-    region = chars[origin : min(end, w.start + b + m)]
-    if len(region) < m - w.edits:
-        return None
-    exact = region.tobytes().find(w.chars.tobytes())
-    if exact >= 0 and exact % 4 == 0:
-        return origin + exact // 4, origin + exact // 4 + m, 0
-    width = b - a + 1
-    k = np.arange(width)
-    at = w.start + a + k  # text position before which a path stands, at row 0
-    far = np.int32(1 << 20)
-    cost = np.where((at >= begin) & (at <= end), 0, far).astype(np.int32)
+def find_exact(w: Window, chars: np.ndarray, begin: int, end: int, low: int, high: int) -> int:
+    """Where a window stands as it is along diagonals low..high (and its budget beside them) of a text at
+    begin..end, or -1."""
+    origin = max(begin, w.start + low - w.edits)
+    at = chars[origin : min(end, w.start + high + w.edits + len(w.chars))].tobytes().find(w.chars.tobytes())
+    return origin + at // 4 if at >= 0 and at % 4 == 0 else -1
+
+
+_FAR = np.int32(1 << 20)
+
+
+def align(windows: np.ndarray, places: np.ndarray, chars: np.ndarray, edits: int, band: int) -> np.ndarray:
+    """The best alignment (start, end, edits) of each window (a row of characters) along the diagonals low to
+    low + band, and the budget beside them, of its text; more edits than the budget where there is none.
+    places: (window's start in its item, begin and end of the text, low) of each. Costs are kept for the
+    band's diagonals only, of all windows at once; those beyond the budget drop out on the way."""
+    n, m = windows.shape
+    out = np.full((n, 3), edits + 1, np.int64)
+    alive = np.arange(n)
+    start, begin, end, low = (places[:, i : i + 1] for i in range(4))
+    k = np.arange(band + 2 * edits + 1)
+    at = start + low - edits + k  # text position before which a path stands, at row 0
+    cost = np.where((at >= begin) & (at <= end), 0, _FAR).astype(np.int32)
     origin = at.copy()
     for j in range(m):
         here = at + j  # text position that the diagonal consumes in this row
         valid = (here >= begin) & (here < end)
-        other = np.where(valid, (chars[np.clip(here, 0, len(chars) - 1)] != w.chars[j]).astype(np.int32), far)
+        other = np.where(valid, chars[np.clip(here, 0, len(chars) - 1)] != windows[:, j : j + 1], _FAR)
         step = cost + other
-        down = np.append(cost[1:] + 1, far)
+        down, moved = np.full_like(cost, _FAR), np.zeros_like(origin)
+        down[:, :-1], moved[:, :-1] = cost[:, 1:] + 1, origin[:, 1:]
         take = down < step
-        new, source = np.where(take, down, step), np.where(take, np.append(origin[1:], 0), origin)
+        new, source = np.where(take, down, step), np.where(take, moved, origin)
         along = new - k  # insertions run along the row
-        run = np.minimum.accumulate(along)
-        who = np.maximum.accumulate(np.where(along == run, k, 0))
-        cost, origin = np.minimum(run + k, far).astype(np.int32), source[who]
-        if cost.min() > w.edits:
-            return None
-    stop = np.where((at + m >= begin) & (at + m <= end), cost, far)
-    i = int(np.argmin(stop))
-    return (int(origin[i]), int(at[i] + m), int(stop[i])) if stop[i] <= w.edits else None
+        run = np.minimum.accumulate(along, axis=1)
+        who = np.maximum.accumulate(np.where(along == run, k, 0), axis=1)
+        cost, origin = np.minimum(run + k, _FAR).astype(np.int32), np.take_along_axis(source, who, 1)
+        if j % 8 == 7 and not (hope := cost.min(axis=1) <= edits).all():
+            if not hope.any():
+                return out
+            alive, at, cost, origin, windows, begin, end = (x[hope] for x in (alive, at, cost, origin, windows, begin, end))
+    stop = np.where((at + m >= begin) & (at + m <= end), cost, _FAR)
+    i = np.argmin(stop, axis=1)[:, None]
+    out[alive] = np.concatenate([np.take_along_axis(origin, i, 1), np.take_along_axis(at, i, 1) + m, np.take_along_axis(stop, i, 1)], axis=1)
+    return out
 
 
 def passes(benchmark: DataFrame, most: int = PASS_BYTES) -> list[DataFrame]:
