@@ -288,8 +288,38 @@ def test_pruning_and_fairness(spark, frame):
     assert {(r.overlap, round(r.ic, 9)) for r in ML.head_to_head(twin, twin, 3).collect()} == {(1.0, 1.0)}
     share = dict(ML.explained_share(f, ["a", "b", "c"]))
     assert share["c"] == pytest.approx(1.0) and share["b"] < 0.1
-    assert all(r.passed for r in ML.fairness(*[frame.withColumn("fold", F.lit(0))] * 2).collect())
-    assert not all(r.passed for r in ML.fairness(frame.withColumn("fold", F.lit(0)), frame.withColumn("fold", F.lit(1))).collect())
+
+
+def test_ten_checks_of_fairness(spark):
+    rows = [(k, days(8)[2 * k + i], f"N{j}", 0.1 * j, 1.0) for k in range(3) for i in range(2) for j in range(3)]
+    table = lambda rows: spark.createDataFrame(rows, "fold int, date date, ticker string, score double, target double")
+    failed = lambda a, b: {r.check for r in ML.fairness(table(a), table(b)).collect() if not r.passed}
+    assert ML.fairness(table(rows), table(rows)).count() == 10 and failed(rows, rows) == set()
+    assert failed(rows, rows + rows[:1]) == {"unique", "coverage"}
+    assert failed(rows, [(0 if k == 1 else 1 if k == 0 else k, *x) for k, *x in rows]) == {"folds", "order"}
+    assert failed(rows, [(*x[:3], float("nan"), x[4]) if i == 4 else x for i, x in enumerate(rows)]) == {"scores"}
+    assert failed(rows, [(*x[:4], 2.0) if i == 4 else x for i, x in enumerate(rows)]) == {"targets"}
+    assert failed(rows, [x for x in rows if x[2] != "N1"]) == {"rows", "targets", "names", "coverage"}
+    assert failed(rows, [x for x in rows if x[1] != days(8)[5]]) == {"rows", "folds", "targets", "axis", "span", "coverage"}
+    assert failed(rows, [x for x in rows if x[1] != days(8)[3]]) == {"rows", "folds", "targets", "axis", "coverage"}
+
+
+def test_panel_ranks_match_the_windows(spark):
+    from tidegrid.operators.frames import cross_rank, cross_zscore
+
+    rng = np.random.default_rng(2)
+    rows = [(d, f"N{j}", float(rng.integers(0, 6)) if rng.random() < 0.9 else None, float(rng.normal()) if rng.random() < 0.8 else float("nan"), 3.0) for d in days(30) for j in range(int(rng.integers(8, 16)))]
+    df = spark.createDataFrame(rows, "date date, ticker string, ret_1d double, mom_12_1 double, vol_21d double").repartition(5)
+    cols, key = ["ret_1d", "mom_12_1", "vol_21d"], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "17")
+    try:
+        got = P.normalise(df, cols).orderBy("date", "ticker").toPandas()
+    finally:
+        spark.conf.unset(key)
+    want = df.select("date", "ticker", *[f(F.col(c)).alias(f"{c}_{n}") for c in cols for n, f in (("rank", cross_rank), ("z", cross_zscore))]).orderBy("date", "ticker").toPandas()
+    for c in want.columns[2:]:
+        a, b = got[c].to_numpy(float), want[c].to_numpy(float)
+        assert (np.isnan(a) == np.isnan(b)).all() and np.nanmax(np.abs(a - b)) < 1e-12, c
 
 
 # ---- market data and panel --------------------------------------------------------------------

@@ -160,15 +160,23 @@ def tradable(adv: str, least: float = MIN_ADV) -> Column:
     return F.coalesce(F.col(adv) >= least, F.lit(False))
 
 
-def rolling_beta(own: str, market: str, n: int = BETA, pairs: int = BETA_PAIRS) -> dict[str, Column]:
-    """Slope on the market and annualised residual volatility over n rows, population moments of complete pairs."""
+def with_rolling_beta(df: DataFrame, own: str, market: str, n: int = BETA, pairs: int = BETA_PAIRS) -> DataFrame:
+    """df with beta_252, the slope on the market, and idio_vol_252, annualised residual volatility, over n rows:
+    population moments of complete pairs. The moments are differences of running sums, so a row costs the same
+    however long the window is."""
     both = F.col(own).isNotNull() & F.col(market).isNotNull()
-    x, y = F.when(both, F.col(market)), F.when(both, F.col(own))
-    frame = rows(n)
-    var_m, cov, var_i = F.var_pop(x).over(frame), F.covar_pop(x, y).over(frame), F.var_pop(y).over(frame)
-    ok = (F.row_number().over(w_t()) > n) & (F.count(x).over(frame) >= pairs) & (var_m > 1e-16)
+    x, y = F.when(both, F.col(market)).otherwise(0.0), F.when(both, F.col(own)).otherwise(0.0)
+    running = w_t().rowsBetween(Window.unboundedPreceding, 0)
+    terms = {"_n": both.cast("double"), "_x": x, "_y": y, "_xx": x * x, "_xy": x * y, "_yy": y * y}
+    sums = with_columns(df, {k: F.sum(t).over(running) for k, t in terms.items()} | {"_at": F.row_number().over(w_t())})
+    part = {k: F.col(k) - F.coalesce(F.lag(k, n).over(w_t()), F.lit(0.0)) for k in terms}
+    held = with_columns(sums, part)
+    mean = lambda k: ratio(F.col(k), F.col("_n"))
+    var_m, cov, var_i = mean("_xx") - mean("_x") * mean("_x"), mean("_xy") - mean("_x") * mean("_y"), mean("_yy") - mean("_y") * mean("_y")
+    ok = (F.col("_at") > n) & (F.col("_n") >= pairs) & (var_m > 1e-16) & (var_m > 1e-12 * mean("_xx"))
     rest = F.greatest(var_i - ratio(cov * cov, var_m), F.lit(0.0))
-    return {"beta_252": F.when(ok, ratio(cov, var_m)), "idio_vol_252": F.when(ok, F.sqrt(rest * YEAR))}
+    out = with_columns(held, {"beta_252": F.when(ok, ratio(cov, var_m)), "idio_vol_252": F.when(ok, F.sqrt(rest * YEAR))})
+    return out.drop(*terms, "_at")
 
 
 def residual_momentum(p: str, market: str, beta: str, span: int = 252, skip: int = SKIP) -> Column:

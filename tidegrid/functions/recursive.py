@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Periods of the smoothed indicators.
@@ -72,21 +71,25 @@ def drawdown(p: np.ndarray, n: int = 252) -> np.ndarray:
     return out
 
 
+NEW = (*(f"ema_{n}" for n in EMA_PERIODS), "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist", "mdd_252d")
+
+
 def recursive_columns(df: DataFrame, price: str, osc_price: str, true_range: str) -> DataFrame:
     """df with ema_*, atr_14, rsi_14, macd, macd_signal, macd_hist, mdd_252d; one task a ticker, in date order.
 
-    A ticker's rows meet in one task as a window's would; only the five columns that are needed are read.
+    A ticker's rows meet in one task as a window's would, and pass through it with their other columns, so that
+    nothing is joined back. Columns of df with these names are replaced.
     """
-    new = [*(f"ema_{n}" for n in EMA_PERIODS), "atr_14", "rsi_14", "macd", "macd_signal", "macd_hist", "mdd_252d"]
-    slim = df.select("ticker", "date", F.col(price).alias("_p"), F.col(osc_price).alias("_q"), F.col(true_range).alias("_r"))
-    schema = T.StructType([slim.schema["ticker"], slim.schema["date"], *[T.StructField(c, T.DoubleType()) for c in new]])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date", kind="stable")
-        p, q = g["_p"].to_numpy(float), g["_q"].to_numpy(float)
-        out = {"ticker": g["ticker"], "date": g["date"]} | {f"ema_{n}": ema(p, n) for n in EMA_PERIODS}
-        out |= {"atr_14": wilder(g["_r"].to_numpy(float)), "rsi_14": rsi(q), "mdd_252d": drawdown(p)}
+    kept = [c for c in df.columns if c not in NEW]
+    schema = T.StructType([*(df.schema[c] for c in kept), *(T.StructField(c, T.DoubleType()) for c in NEW)])
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("date")
+        p, q, r = (group[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (price, osc_price, true_range))
+        out = {f"ema_{n}": ema(p, n) for n in EMA_PERIODS} | {"atr_14": wilder(r), "rsi_14": rsi(q), "mdd_252d": drawdown(p)}
         out |= dict(zip(("macd", "macd_signal", "macd_hist"), macd(q), strict=True))
-        return pd.DataFrame({k: (v if k in ("ticker", "date") else pd.array(np.nan_to_num(v), dtype="Float64") if not np.isnan(v).any() else pd.Series(np.where(np.isnan(v), None, v), index=g.index)) for k, v in out.items()})
+        for c in NEW:
+            group = group.append_column(c, pa.array(out[c], pa.float64(), mask=np.isnan(out[c])))
+        return group
 
-    return df.join(slim.groupBy("ticker").applyInPandas(run, schema), ["ticker", "date"])
+    return df.select(*kept).groupBy("ticker").applyInArrow(run, schema)

@@ -6,13 +6,17 @@ import datetime as dt
 import hashlib
 import json
 import re
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.functions import features as X
 from tidegrid.functions.recursive import recursive_columns
-from tidegrid.operators.frames import carry_onto, clip, finite, positive, ratio, sector_demean, session_grid
+from tidegrid.operators.frames import carry_onto, positive, ratio, sector_demean, session_grid
 from tidegrid.pit import guard, resolve_as_of
 from tidegrid.sources.store import incremental_panel
 
@@ -80,8 +84,8 @@ def features(prices: DataFrame, sessions: DataFrame, listings: DataFrame, benchm
     """Features and flags on bar dates.
 
     prices(ticker, date, open, high, low, close, volume, adj_close, close_eur, adj_close_eur), listings(ticker,
-    venue, sector), benchmark(date, bench). All windows share one shuffle and sort by (ticker, date); the recursive
-    averages join on the ticker they are partitioned by.
+    venue, sector), benchmark(date, bench). All windows and the recursive averages share one layout by ticker, in
+    date order.
     """
     g = session_grid(prices, sessions, listings.select("ticker", "venue"))
     days = g.select("date").distinct()
@@ -98,39 +102,82 @@ def features(prices: DataFrame, sessions: DataFrame, listings: DataFrame, benchm
     wide |= {f"dist_{k}_{n}": X.distance("p", f"{k}_{n}") for k in ("sma", "ema") for n in X.AVERAGES} | {f"slope_{k}_{n}": X.slope(f"{k}_{n}") for k in ("sma", "ema") for n in X.AVERAGES}
     wide |= {f"{c}_pct": ratio(F.col(c), F.col("q")) for c in ("macd", "macd_signal", "macd_hist")}
     wide |= {"adv_eur_21": X.average_daily_value("ev"), "volume_z_63": X.volume_zscore("ev"), "obv_flow_21": X.obv_flow("sg", "ev"), "trend_50_200": X.trend_state()}
-    g = X.with_columns(g, wide | X.rolling_beta("logret_1d", "rm"))
+    g = X.with_rolling_beta(X.with_columns(g, wide), "logret_1d", "rm")
     g = g.withColumn("mom_resid_12_1", X.residual_momentum("p", "m", "beta_252")).withColumn("tradable", X.tradable("adv_eur_21"))
     own = X.with_columns(g.where("stored"), X.crosses("trend_50_200"))
     return own.join(F.broadcast(listings.select("ticker", "sector")), "ticker", "left")
 
 
+def ranks_and_scores(x: np.ndarray, z: np.ndarray, starts: np.ndarray, min_names: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of names x columns, dates one after another from `starts` on: ranks of x within the date scaled to 0..1, ties
+    averaged, a lone name 0.5, and population z-scores of z, 0 where all are equal. NaN is missing, and so is a
+    column that fewer than min_names of a date have."""
+    rows = len(x)
+    size = np.diff(np.r_[starts, rows])
+    date, at = np.repeat(np.arange(len(starts)), size), np.arange(rows)
+    known, place = ~np.isnan(x), np.empty(x.shape)
+    for c in range(x.shape[1]):
+        values = np.where(known[:, c], x[:, c], np.inf)
+        order = np.lexsort((values, date))
+        new = np.ones(rows + 1, bool)
+        new[1:rows] = (values[order[1:]] != values[order[:-1]]) | (date[order[1:]] != date[order[:-1]])
+        first = np.flatnonzero(new[:rows])
+        n = np.diff(np.r_[first, rows])
+        place[order, c] = np.repeat(first + (n - 1) / 2, n) - starts[date[order]]
+    per_date = lambda f, values: f.reduceat(values, starts, axis=0)[date]
+    n, nz, there = per_date(np.add, known.astype(float)), per_date(np.add, (~np.isnan(z)).astype(float)), ~np.isnan(z)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rank = np.where(known & (n >= min_names), np.where(n > 1, place / (n - 1), 0.5), np.nan)
+        off = z - per_date(np.add, np.where(there, z, 0.0)) / nz
+        spread = np.sqrt(per_date(np.add, np.where(there, off, 0.0) ** 2) / nz)
+        flat = per_date(np.maximum, np.where(there, z, -np.inf)) == per_date(np.minimum, np.where(there, z, np.inf))
+        score = np.where(flat, 0.0, np.where(spread > 0, off / spread, np.nan))
+    return rank, np.where(there & (nz >= min_names), score, np.nan)
+
+
 def normalise(df: DataFrame, columns: list[str] = COMPARABLE, min_names: int = MIN_NAMES, mask: Column | None = None) -> DataFrame:
     """df(date, ticker, ...) with a rank and a z-score within the date for each column.
 
-    The columns are laid out as rows (column, value) inside each date's partition, so one window serves all of
-    them and one shuffle by date serves the window and the way back; the other columns travel with the first.
+    One window for each column would sort a date's rows as often as there are columns, and a row for each value
+    would make that many rows of one. So rows are dealt by date, sorted, and ranked in Arrow batches of whole
+    dates; a batch's last date waits for the next batch.
     """
-    row = F.struct(*df.columns)
-    empty = F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType)
-    items = []
-    for i, c in enumerate(columns):
-        x = finite(F.col(c)) if mask is None else F.when(mask, finite(F.col(c)))
-        z = F.when(x > 0, F.ln(x)) if c in LOGGED else x
-        items.append(F.struct(F.lit(i).alias("i"), x.cast("double").alias("x"), z.cast("double").alias("z"), (row if i == 0 else empty).alias("row")))
-    long = df.repartition("date").select("date", "ticker", F.inline(F.array(*items)))
-    every = Window.partitionBy("date", "i")
-    order = every.orderBy(F.col("x").asc_nulls_last())
-    peers = F.count(F.lit(1)).over(order.rangeBetween(0, 0))
-    n, nz, known = F.count("x").over(every), F.count("z").over(every), F.col("x").isNotNull()
-    place = F.rank().over(order) + (peers - 1) / F.lit(2.0)
-    rank = F.when(known & (n >= min_names), F.when(n > 1, (place - 1) / (n - 1)).otherwise(0.5))
-    flat = F.max("z").over(every) == F.min("z").over(every)
-    score = F.when(F.col("z").isNotNull() & (nz >= min_names), F.when(flat, 0.0).otherwise(ratio(F.col("z") - F.avg("z").over(every), F.stddev_pop("z").over(every))))
-    score = clip(score, -Z_LIMIT, Z_LIMIT) if Z_LIMIT else score
-    done = long.select("date", "ticker", "i", "row", rank.alias("rank"), score.alias("score"))
-    back = done.groupBy("date", "ticker").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(F.collect_list(F.struct("i", "rank", "score"))).alias("s"))
-    extra = [F.get("s", F.lit(i))[k].alias(f"{c}_{name}") for i, c in enumerate(columns) for k, name in (("rank", "rank"), ("score", "z"))]
-    return back.select("row.*", *extra)
+    made = [f"{c}_{k}" for c in columns for k in ("rank", "z")]
+    kept = [c for c in df.columns if c not in made]
+    logged, k = [c in LOGGED for c in columns], len(columns)
+
+    def done(table: pa.Table, days: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = table["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        x = np.where(np.isfinite(x), x, np.nan)
+        z = x.copy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z[:, logged] = np.where(x[:, logged] > 0, np.log(x[:, logged]), np.nan)
+        rank, score = ranks_and_scores(x, z, np.flatnonzero(np.r_[True, days[1:] != days[:-1]]), min_names)
+        if Z_LIMIT:
+            score = np.clip(score, -Z_LIMIT, Z_LIMIT)
+        both = np.stack([rank, score], axis=2).ravel()
+        lists = pa.ListArray.from_arrays(np.arange(0, len(both) + 1, 2 * k, dtype=np.int32), pa.array(both))
+        yield from table.drop_columns(["_x"]).append_column("_y", lists).combine_chunks().to_batches()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            days = table["date"].cast(pa.int32()).fill_null(-(2**31)).to_numpy()
+            last = int(np.flatnonzero(np.r_[True, days[1:] != days[:-1]])[-1])
+            if last:
+                yield from done(table.slice(0, last), days[:last])
+            held = table.slice(last)
+        if held is not None:
+            yield from done(held, np.zeros(held.num_rows))
+
+    value = lambda c: F.coalesce((F.col(c) if mask is None else F.when(mask, F.col(c))).cast("double"), F.lit(float("nan")))
+    rows = df.select(*kept, F.array(*[value(c) for c in columns]).alias("_x"))
+    rows = rows.repartition("date").sortWithinPartitions("date")
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("_y", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(run, schema).select(*kept, *[F.nanvl(F.get("_y", F.lit(i)), F.lit(None).cast("double")).alias(c) for i, c in enumerate(made)])
 
 
 def build(prices: DataFrame, sessions: DataFrame, listings: DataFrame, benchmark: DataFrame, *, as_of) -> DataFrame:

@@ -74,7 +74,9 @@ def t7_true_range(spark, sf):
     "ticker date", "mdd_252d",
 )
 def t9_drawdown_window(spark, sf):
-    return stored(grid(spark, sf).withColumn("mdd_252d", X.max_drawdown("close"))).where("mdd_252d is not null")
+    """The drawdown of the panel's grouped pass."""
+    g = grid(spark, sf).withColumn("tr", F.lit(None).cast("double"))
+    return stored(recursive_columns(g, "close", "close", "tr")).where("mdd_252d is not null")
 
 
 _SMA = "s AS (SELECT *, " + ", ".join(f"{rolled('avg(close)', 'close', n, n - 1)} AS sma_{n}" for n in X.AVERAGES) + " FROM grid)"
@@ -160,7 +162,7 @@ def with_market(spark, sf):
 )
 def t25_beta(spark, sf):
     g = X.with_columns(with_market(spark, sf), {"ri": X.log_return("close", 1), "rm": X.log_return("bench", 1)})
-    g = X.with_columns(g, X.rolling_beta("ri", "rm"))
+    g = X.with_rolling_beta(g, "ri", "rm")
     return stored(g.withColumn("mom_resid_12_1", X.residual_momentum("close", "bench", "beta_252")))
 
 

@@ -133,7 +133,7 @@ def read_relatives(store, sessions, listings, benchmark: str, tickers=None, *, a
         days = g.select("date").distinct()
         g = g.join(F.broadcast(carry_onto(bench, days, "bench", 5)), "date", "left")
         g = X.with_columns(g, {"ri": X.log_return("p", 1), "rm": X.log_return("bench", 1)})
-        return X.with_columns(g, X.rolling_beta("ri", "rm")).withColumn("mom_resid_12_1", X.residual_momentum("p", "bench", "beta_252"))
+        return X.with_rolling_beta(g, "ri", "rm").withColumn("mom_resid_12_1", X.residual_momentum("p", "bench", "beta_252"))
 
     return _read(store, sessions, listings, make, ["beta_252", "idio_vol_252", "mom_resid_12_1"], as_of, tickers, start, end, 252)
 
