@@ -89,7 +89,7 @@ def t29_rolling_sharpe(spark, sf):
 
 #: The market's sessions: each day's mean return over all tickers; resampled with blocks whose starts are arithmetic,
 #: so that SQL can draw the same.
-_REPS = 500
+_REPS = 5000
 _LINE = "line AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, m - 0.0001 AS a, m * 0.5 + 0.01 AS b FROM (SELECT date, avg(ret) AS m FROM r WHERE ret IS NOT NULL GROUP BY date)), sz AS (SELECT count(*) AS n FROM line)"
 _DRAWS = f"draws AS (SELECT rep, k, (rep * 7919 + k * 104729 + 39) % n AS start, n FROM sz, range({_REPS}) a(rep), range((SELECT (n + 20) // 21 FROM sz)) b(k))"
 _RESAMPLED = "smp AS (SELECT rep, avg(a) / stddev_samp(a) * sqrt(252.0) AS sa, avg(b) / stddev_samp(b) * sqrt(252.0) AS sb FROM draws JOIN range(21) o(j) ON k * 21 + j < n JOIN line ON i = (start + j) % n GROUP BY rep)"
