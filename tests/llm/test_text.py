@@ -92,6 +92,54 @@ def test_labelled_sample_is_bounded(spark):
     assert sum(y for _, y in rows) == 5 and len(rows) == 15
 
 
+def fit_in_memory(docs, labels):
+    """The model by `fit`, over every agreed and trained label."""
+    said = {}
+    for d, y in labels:
+        if d is not None and y is not None:
+            said.setdefault(d, set()).add(y)
+    rows = [(t, min(said[d])) for d, t in docs if t and len(said.get(d, ())) == 1 and zlib.crc32(str(d).encode()) % 3 != 1]
+    return toxicity.fit(rows)
+
+
+def test_toxicity_learns_from_every_row(spark, tmp_path):
+    """A word that only toxic rows beyond 1,500 have weighs, in the query and in the pipeline's stage."""
+    import corpus_pipeline
+
+    rng, train = random.Random(5), [i for i in range(9000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic, other = train[:2500], train[2500:]
+    ids = spark.createDataFrame([(i,) for i in toxic], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) h").orderBy("h", "doc_id").collect()
+    late = {r.doc_id for r in ids[1500:]}
+    rare = set(sorted(late)[:60])
+    docs = [(i, noise(rng, 12) + (f" x{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} {'zorgblat' if i in rare else 'snivelrat'} end")) for k, i in enumerate(toxic)]
+    docs += [(i, noise(rng, 15)) for i in other] + [(20_001, "calm zorgblat"), (20_002, "calm water"), (20_003, ""), (20_004, None)]
+    labels = [(i, int(i in set(toxic))) for i in train]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op2_toxicity(spark, str(tmp_path)).collect()}
+    assert [got[20_000 + k].predicted for k in (1, 2, 3, 4)] == [1, 0, 0, 0]
+    model = fit_in_memory(docs, labels)
+    for d, t in docs[-4:]:
+        assert got[d].score == pytest.approx(model.score(t), abs=1e-9)
+    left = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r.doc_id for r in left.where("doc_id > 20000").collect()} == {20_002, 20_003, 20_004}
+
+
+def test_toxicity_of_tables_is_that_of_memory(spark):
+    """Copies, repeated rows and keys, contradictory and null labels, null keys: tables are learned as rows in memory are."""
+    rng = random.Random(6)
+    docs = [(i, noise(rng, 10) + (f" x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " + rng.choice(["blorkhead", "blorkhat", "gru\u00dfface \u0130x"]) if i % 3 == 0 else "")) for i in range(1500)]
+    docs += [(2000 + i, docs[3 * i][1]) for i in range(40)] + docs[:30] + [(5, "another blorkhead"), (None, "blorkhead calm"), (7, None), (8, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(1500)] + [(2000 + i, i % 2) for i in range(40)] + [(9, 0), (None, 1), (12, None)] + [(3, 1)] * 2
+    table = spark.createDataFrame([(d, t, 1.0) for d, t in docs], "doc_id long, text string, tox_digest double")
+    named = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.judged(table, named, queries.crc_text("doc_id") % 3 != 1).collect()
+    assert len(got) == len(docs)
+    model = fit_in_memory(docs, labels)
+    assert all(r.tox_score == pytest.approx(model.score(r.text), abs=1e-9) for r in got)
+    assert len({round(r.tox_score, 6) for r in got}) > 1
+
+
 # ---- decontamination --------------------------------------------------------------------------
 
 

@@ -28,8 +28,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     threshold are toxic, repeated rows score alike, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(crc_text("doc_id") % 3 == 1, F.lit(False))
-    sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), ~held_out)
-    scored = toxicity.score(docs, toxicity.fit(sample), keep=["doc_id"])
+    scored = toxicity.judged(docs, table(spark, sf_dir, "labels"), ~held_out, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), F.col("tox_score").alias("score"), F.col("tox_predicted").alias("predicted"))
 
 
