@@ -16,8 +16,8 @@ from tidegrid.llm.shared import crc_text, cut, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject. Null and empty texts and null keys stay, repeated rows are
     judged alike, a score at the threshold is a rejection; an empty table stays empty."""
-    sample = toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), crc_text("doc_id") % 3 != 1)
-    return toxicity.score(docs, toxicity.fit(sample)).where("tox_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    scored = toxicity.judged(docs, table(spark, sf_dir, "labels"), crc_text("doc_id") % 3 != 1)
+    return scored.where("tox_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
