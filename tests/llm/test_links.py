@@ -200,3 +200,31 @@ def test_blocks_of_the_transform(length):
     assert [x for x in suffixes] == sorted(suffixes)
     for a, b, x, y in zip(suffixes, suffixes[1:], block, block[1:], strict=False):
         assert (x == y) == (a[:length] == b[:length] and len(a) >= length)
+
+
+def test_suffixes_are_sorted_as_deep_as_repeats_need(monkeypatch):
+    """Windows of smaller documents, by four sorts of all rows: 7, 14, 28 and 56 bytes."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abc") for _ in range(400))
+    strings = [base[k : k + rng.randrange(50, 130)].encode() for k in (rng.randrange(270) for _ in range(80))]
+    strings += [s + b"x" for s in strings[:20]] + [b"\0" * 70, b"\0" * 60]
+    data, sizes = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    ids, sorts, plain = np.array([rng.randrange(30) for _ in strings]), [], np.argsort
+    smallest = {}
+    for s, d in zip(strings, ids.tolist(), strict=True):
+        for k in range(len(s) - 49):
+            smallest[s[k : k + 50]] = min(smallest.get(s[k : k + 50], d), d)
+    want = [(i, k) for i, s in enumerate(strings) for k in range(len(s) - 49) if smallest[s[k : k + 50]] < ids[i]]
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (sorts.append(len(x)), plain(x, *a, **k))[1])
+    string, offset = repeats.windows_of_smaller(data, np.cumsum(sizes) - sizes, sizes, ids, 50)
+    assert list(zip(string.tolist(), offset.tolist(), strict=True)) == want
+    assert sorts.count(len(data) + len(strings)) == 4
+
+
+def test_distinct_strings():
+    rng = random.Random(10)
+    data = np.frombuffer(b"ab\0" * 40, np.uint8)
+    begin, size = (np.array([rng.randrange(a, b) for _ in range(300)]) for a, b in ((0, 100), (1, 21)))
+    one, kind = repeats.distinct_strings(data, begin, size)
+    text = [data[b : b + n].tobytes() for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
+    assert [text[one[k]] for k in kind] == text and len(one) == len(set(text))

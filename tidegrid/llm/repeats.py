@@ -15,11 +15,13 @@ from tidegrid.llm.shared import BYTE_CODES, binary_parts, block_slices, cut, dea
 
 #: Bytes of a repeated string, and of the grams whose minimum over it decides where it is looked for.
 LENGTH, GRAM = 50, 20
-UNIT_BYTES, STEP_BYTES, FRAGMENT_BYTES = 4 << 20, 1 << 19, 16 << 20
+UNIT_BYTES, STEP_BYTES, FRAGMENT_BYTES = 4 << 20, 1 << 16, 16 << 20
 #: Bytes of strings that one transform holds, where their places allow it.
-TRANSFORM_BYTES = 1 << 19
+TRANSFORM_BYTES = 1 << 18
 #: A gram that more units than this have is hot: its windows are placed by more bytes than the gram's.
 HOT_UNITS = 64
+#: Bytes that the suffix order starts from: 9 bits each in 64.
+KEY = 7
 #: Bits of a place in a part that is segmented at once; hashes are compared without that many.
 PLACE_BITS = np.uint64(20)
 _BASE = 0x9E3779B97F4A7C15
@@ -223,13 +225,20 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def row_width(size: np.ndarray) -> int:
+    """Bytes of the longest string, so many that 4 more fill whole numbers of 64 bits."""
+    return (int(size.max()) + 4 + 7) // 8 * 8 - 4
+
+
 def distinct_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one of each kind of equal byte strings, the kind of each string), compared byte by byte."""
     if not len(begin):
         return begin, begin
-    rows = np.zeros((len(begin), (int(size.max()) + 4 + 7) // 8 * 8), np.uint8)
-    row = np.repeat(np.arange(len(begin)), size)
-    rows[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + 4] = data[spread(begin, size)]
+    width = row_width(size)
+    if int(begin.max()) + width > len(data):
+        data = np.r_[data, np.zeros(width, np.uint8)]
+    rows = np.empty((len(begin), width + 4), np.uint8)
+    np.multiply(np.lib.stride_tricks.sliding_window_view(data, width)[begin], np.arange(width) < size[:, None], out=rows[:, 4:])
     rows[:, :4] = size.astype("<u4").view(np.uint8).reshape(-1, 4)
     rows = rows.view(np.uint64)
     key = np.zeros(len(rows), np.uint64)
@@ -313,9 +322,10 @@ def _send(length: int, gram: int, fragments: int):
 # ---- the transform ----------------------------------------------------------------------------
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of some strings, each ended by a mark of its own smaller than any byte (the marks
-    in the order of the strings). Returns the order and, for each place, the text with marks as 0, bytes + 1."""
+    in the order of the strings). Suffixes that share `depth` bytes (all: None) may come in any order.
+    Returns the order and, for each place, the text with marks as 0, bytes + 1."""
     total = int(sizes.sum()) + len(sizes)
     text = np.zeros(total, np.uint16)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
@@ -325,13 +335,14 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
     text[inside] = data[at].astype(np.uint16) + 1
     left = np.repeat(begin + sizes, sizes + 1) - np.arange(total)  # bytes before the mark
     key = np.zeros(total, np.uint64)
-    for k in range(6):
-        char = np.zeros(total, np.uint64)
-        char[: total - k] = text[k:]
-        key = (key << np.uint64(9)) | np.where(left >= k, char, 0)
-    width, longest = 6, int(sizes.max()) if len(sizes) else 0
+    for k in range(KEY):
+        key <<= np.uint64(9)
+        key[: total - k] |= np.where(left[: total - k] >= k, text[k:], np.uint16(0))
+    width, longest = KEY, int(sizes.max()) if len(sizes) else 0
     while True:
         order = np.argsort(key)
+        if depth is not None and width >= depth:
+            return order, text
         sorted_key = key[order]
         rank = np.empty(total, np.int64)
         rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
@@ -343,22 +354,22 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tup
         width *= 2
 
 
-def repeat_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of the strings, and the number of the block of each row: rows of a block share their
-    first `length` bytes, neighbouring rows of different blocks do not.
+def repeat_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the strings (see suffix_order; a depth of `length` is enough), and the number of the block
+    of each row: rows of a block share their first `length` bytes, neighbouring rows of different blocks do not.
 
     Breadth-first on the Burrows-Wheeler transform: intervals of rows that begin with one string are
     extended backward by each byte before them. An extension of a string of l bytes that ends at a row
     border not seen yet has found a common prefix of l there. Borders are thus found by increasing common
     prefix; after length - 1 the borders that are left are those of `length` or more.
     """
-    order, text = suffix_order(data, starts, sizes)
+    order, text = suffix_order(data, starts, sizes, depth)
     n = len(order)
     before = text[order - 1]  # the transform; a string's first place follows a mark (order 0: the last mark)
-    lf = np.empty(n, np.int64)
-    by_char = np.argsort(before, kind="stable")
     # rows that begin with a mark come first; rows before which a mark stands lead nowhere
-    lf[by_char] = np.arange(n)
+    row = np.empty(n, np.int64)
+    row[order] = np.arange(n)
+    lf = row[order - 1]  # as rows that share `depth` bytes come in any order, counting does not give it
     first_char = text[order]
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
@@ -398,7 +409,7 @@ def repeat_blocks(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lengt
 
 def windows_of_smaller(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the windows that also start in a string with a smaller id, in order."""
-    order, block = repeat_blocks(data, starts, sizes, length)
+    order, block = repeat_blocks(data, starts, sizes, length, length)
     string = np.repeat(np.arange(len(sizes)), sizes + 1)
     within = np.arange(len(string)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
     full = (sizes[string] - within)[order] >= length
@@ -422,7 +433,7 @@ def _compare(length: int):
         row_of = np.repeat(np.arange(len(rows)), count)
         total = np.bincount(row_of, sizes, len(rows)).astype(np.int64)
         ids = np.concatenate([unpacked(r["ids"], n, np.int64) for r, n in zip(rows, count.tolist(), strict=True)])
-        data = np.concatenate([unpacked(r["strings"], n, np.uint8) for r, n in zip(rows, total.tolist(), strict=True)])
+        data = np.concatenate([*(unpacked(r["strings"], n, np.uint8) for r, n in zip(rows, total.tolist(), strict=True)), np.zeros(row_width(sizes), np.uint8)])
         begin = np.cumsum(sizes) - sizes
         # equal windows have one place, so they stay together; a place is a part of its own if it must
         order = np.argsort(places, kind="stable")
